@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
-from .shelf import Shelf
+from .shelf import Shelf, fresh
 from .textkit import Words, mix64, slices
 
 BITS = 128
@@ -298,5 +298,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str =
     All columns pass through; documents that :func:`near_groups` leaves out stay.
     """
     shelf = Shelf(spark)
-    lost = shelf.put(near_groups(spark, docs, doc_id=doc_id, text=text, **kw).where("not kept").select(F.col("doc_id").alias("__lost_id")))
-    return docs.join(shelf.small(lost), docs[doc_id].cast("bigint") == F.col("__lost_id"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    lost = shelf.put(near_groups(spark, docs, doc_id=doc_id, text=text, **kw).where("not kept").select(F.col("doc_id").alias(gone)))
+    return docs.join(shelf.small(lost), docs[doc_id].cast("bigint") == F.col(gone), "left_anti")
