@@ -16,9 +16,8 @@ def _split(docs: DataFrame, depth: int) -> DataFrame:
             .groupBy("key", "ended").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("keep_id")).where("copies > 1"))
 
 
-def duplicate_texts(spark: SparkSession, docs: DataFrame, shelf: Shelf, *, doc_id: str = "doc_id", text: str = "text",
-                    first: int = FIRST_BYTES, growth: int = GROWTH) -> tuple[DataFrame, DataFrame]:
-    """(groups, active): the repeated texts (``key`` bytes, ``copies``, ``keep_id``) and the documents still in play after the first digit.
+def _members(spark: SparkSession, docs: DataFrame, shelf: Shelf, doc_id: str, text: str, first: int, growth: int) -> DataFrame:
+    """Members of the groups of equal texts: ``doc_id``, ``keep_id``, ``copies``, and ``n_bytes`` and ``mark`` to find the row again.
 
     Documents are split by successive digits of their bytes: the first
     ``first`` bytes, then up to ``growth`` times as many, and so on.  A group
@@ -27,31 +26,30 @@ def duplicate_texts(spark: SparkSession, docs: DataFrame, shelf: Shelf, *, doc_i
     Grouping compares the bytes themselves; no digest stands for a text.
 
     Work: the first digit shuffles ``first`` bytes a document after map-side
-    counting.  Texts of the groups left over (copies and shared openings) are
-    set apart once; later digits read only those, and since digits grow
-    geometrically all of them together shuffle little over the length of the
-    remaining texts.  Counting is partial before every shuffle, so a text
-    with a million copies is one row a task.
+    counting, and only documents that share them go on.  A later digit counts
+    its prefixes with map-side combining, so a text with a million copies is
+    one row a task, and then moves the remaining texts once to their groups
+    by a join that may be split where a group is large.
     """
     whole = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("raw"))
-    level = shelf.put(_split(whole, first))
-    opening = level.select("key").distinct()
-    hint = F.broadcast(opening) if shelf.bytes(level) * 3 <= 16 << 20 else opening.hint("shuffle_hash")
-    active = shelf.put(whole.withColumn("key", F.substring("raw", 1, first)).join(hint, "key", "left_semi").select("doc_id", "raw"))
-    ended = [level.where("ended")]
-    depth = first
-    while not level.where("not ended").isEmpty():
-        open_ = level.where("not ended").select("key")
-        rest = active.where(F.octet_length("raw") > depth)
-        rest = rest.withColumn("key", F.substring("raw", 1, depth)).join(
-            F.broadcast(open_) if shelf.bytes(level) * 3 <= 16 << 20 else open_.hint("shuffle_hash"), "key", "left_semi").drop("key")
+    opening = shelf.put(_split(whole, first).select("key").distinct())
+    active = shelf.put(whole.withColumn("key", F.substring("raw", 1, first)).join(shelf.small(opening), "key", "left_semi").select("doc_id", "raw"))
+    found, depth = [], first
+    while True:
         depth *= growth
-        level = shelf.put(_split(rest, depth))
-        ended.append(level.where("ended"))
-    groups = ended[0]
-    for part in ended[1:]:
-        groups = groups.union(part)
-    return groups.select("key", "copies", "keep_id"), active
+        groups = _split(active, depth)
+        keyed = active.select("doc_id", "raw", F.substring("raw", 1, depth).alias("key"), (F.octet_length("raw") <= depth).alias("ended"))
+        level = shelf.put(keyed.join(groups.hint("shuffle_hash"), ["key", "ended"]).select(
+            "doc_id", "keep_id", "copies", "ended", F.octet_length("raw").alias("n_bytes"), F.xxhash64("raw").alias("mark"),
+            F.when(~F.col("ended"), F.col("raw")).alias("raw")))
+        found.append(level.where("ended").select("doc_id", "keep_id", "copies", "n_bytes", "mark"))
+        active = level.where("not ended").select("doc_id", "raw")
+        if active.isEmpty():
+            break
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
 
 
 def exact_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", first: int = FIRST_BYTES,
@@ -64,9 +62,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id"
     with a null ``doc_id``; ``keep_id`` is null only if all ids are.  An empty
     table gives an empty result; further columns are ignored.
     """
-    shelf = Shelf(spark)
-    groups, active = duplicate_texts(spark, docs, shelf, doc_id=doc_id, text=text, first=first, growth=growth)
-    return active.join(groups.hint("shuffle_hash"), active["raw"] == groups["key"]).select(
+    return _members(spark, docs, Shelf(spark), doc_id, text, first, growth).select(
         "doc_id", "keep_id", "copies", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
@@ -83,16 +79,24 @@ def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str =
     """``docs`` with one row for each distinct text: the one with the smallest id (ties: smallest other columns as strings).
 
     All columns pass through under their own names.  Rows with a null text
-    all stay; empty texts count as equal.
+    all stay; empty texts count as equal; a null id stays only if the whole
+    group has no other.
     """
     shelf = Shelf(spark)
-    key, copies, keep, rank, raw = fresh(docs, "key", "copies", "keep", "rank", "raw")
-    groups, _ = duplicate_texts(spark, docs, shelf, doc_id=doc_id, text=text, first=first, growth=growth)
-    groups = shelf.put(groups.toDF(key, copies, keep))
-    marked = docs.withColumn(raw, docs[text].cast("binary"))
-    marked = marked.join(shelf.small(groups), F.col(raw) == F.col(key), "left")
-    single = marked.where(F.col(key).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
-    order = Window.partitionBy(key).orderBy(*[F.col(f"`{c}`").cast("string").asc_nulls_last() for c in docs.columns if c != text])
-    first_of = (marked.where(F.col(key).isNotNull() & docs[doc_id].cast("bigint").eqNullSafe(F.col(keep)))
-                .withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
-    return single.unionByName(first_of)
+    ident, size, mark, fate, rank = fresh(docs, "id", "size", "mark", "fate", "rank")
+    members = _members(spark, docs, shelf, doc_id, text, first, growth)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # Of rows that share id and text, "lost" ones go and "tied" ones (more than one row is the smallest) are ranked.
+    fates = shelf.put(members.groupBy("doc_id", "n_bytes", "mark").agg(F.max(F.when(kept, 1).otherwise(0)).alias("kept"), F.count(F.lit(1)).alias("n"))
+                      .where("kept = 0 or n > 1").select(F.col("doc_id").alias(ident), F.col("n_bytes").alias(size), F.col("mark").alias(mark),
+                                                         F.when(F.col("kept") == 0, "lost").otherwise("tied").alias(fate)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    raw = docs[text].cast("binary")
+    same = docs[doc_id].cast("bigint").eqNullSafe(F.col(ident)) & (F.octet_length(raw) == F.col(size)) & (F.xxhash64(raw) == F.col(mark))
+    single = docs.join(shelf.small(fates), same, "left_anti")
+    tied = fates.where(F.col(fate) == "tied")
+    if tied.isEmpty():
+        return single
+    order = Window.partitionBy(ident, size, mark).orderBy(*[F.col(f"`{c}`").cast("string").asc_nulls_last() for c in docs.columns if c != text])
+    ranked = docs.join(tied.hint("shuffle_hash"), same).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return single.unionByName(ranked.select(*columns))
