@@ -81,7 +81,7 @@ def parse_ddl(ddl: str) -> tuple[str, list[tuple[str, str, bool]]]:
     m = _DDL.match(ddl.strip().rstrip(";"))
     if not m:
         raise ValueError("no CREATE TABLE statement")
-    body, depth, parts, cur = m[2], 0, [], ""
+    body, depth, parts, cur = re.sub(r"'(?:[^']|'')*'", "''", m[2]), 0, [], ""  # the contents of texts don't matter
     for c in body:
         depth += (c in "(<") - (c in ")>")
         if depth < 0:

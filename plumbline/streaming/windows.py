@@ -109,7 +109,11 @@ def all_windows(frames: dict[str, DataFrame], metrics: list[Metric], settings: S
 
 @dataclass
 class StreamJob:
-    """A streaming job: windows are finished as they close, in the order of their start."""
+    """A streaming job: windows are finished as they close, in the order of their start.
+
+    After a restart from a checkpoint, open windows go on where they were;
+    the common watermark moves again once every stream has had new rows.
+    """
 
     engine: Engine
     job: Job
