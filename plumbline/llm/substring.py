@@ -136,16 +136,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, *, doc_id: str = "do
     first by itself, so both are kept).  Ties cannot arise; an empty table
     gives an empty result; further columns are ignored.
 
-    Work: texts are read once in a narrow map; 32 bytes a chunk go on.
-    Chunks are counted by digest with map-side combining and joined with the
-    repeated ones; the join may be split where a digest is frequent.
+    Work: texts are read once in a narrow map; 32 bytes a chunk go on.  Half
+    digests are counted with map-side combining; the chunks are then moved
+    once, to the repeated halves, and everything up to the passages happens
+    where they are, in streams: a frequent digest is never held in memory.
     """
     shelf = Shelf(spark)
     table = shelf.put(chunk_table(docs, doc_id=doc_id, text=text))
-    repeated = table.groupBy("d1", "d2").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "start")).alias("first")).where("copies > 1").select(
-        "d1", "d2", "copies", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
-    hits = table.join(repeated.hint("shuffle_hash"), ["d1", "d2"]).select(
+    # Half a digest picks the rows that may repeat; only these are told apart by the whole one.  All of it is partitioned by that half,
+    # and both uses of the rows read the same columns, so they share one exchange.
+    twice = table.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1")
+    rows = table.join(twice.hint("shuffle_hash"), "d1")
+    first = rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "start", "size")).alias("first")).where("copies > 1").select(
+        F.col("d1").alias("f1"), F.col("d2").alias("f2"), "copies", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
+    # The second half is compared by a difference, which leaves the first one the only key of the join and spares a shuffle.
+    hits = rows.join(first.hint("shuffle_hash"), (F.col("d1") == F.col("f1")) & (F.col("d2").bitwiseXOR(F.col("f2")) == 0)).select(
         "doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "copies", "keep_id",
         ((F.col("doc_id") == F.col("keep_id")) & (F.col("start") == F.col("keep_start"))).alias("kept"))
     by = Window.partitionBy("doc_id", "keep_id", "kept")
