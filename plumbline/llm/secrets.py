@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shelf import Shelf
+
 #: (kind, pattern): tried in this order at each place of a text.  The syntax is the
 #: common ground of Java's and RE2's engines; case is explicit; no look-around.
 RULES = (
@@ -53,8 +55,9 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     Repeated rows add occurrences, not documents.  An empty table gives an
     empty result; further columns are ignored.
 
-    The scan is one pass of JVM expressions over the text column; only the
-    candidates found are shuffled, first by document, then by hash with
+    The scan is one pass of JVM expressions over the text column.  The
+    candidates found are written down, so that both the counts and the rows
+    come from that pass; only they are shuffled, by document, then by hash with
     partial aggregation, so a credential copied a million times costs one row
     per map task.
     """
@@ -71,6 +74,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
         ((F.length("value") >= min_chars) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).alias("strong"))
     per_doc = hits.groupBy("doc_id", "owner", "repo", "kind", "secret_hash").agg(
         F.count(F.lit(1)).alias("occurrences"), F.max("placeholder").alias("placeholder"), F.max("strong").alias("strong"))
+    per_doc = Shelf(docs.sparkSession).put(per_doc)
     corpus = per_doc.groupBy("kind", "secret_hash").agg(
         F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0002"))).alias("n_docs"),
         F.count_distinct("repo").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
