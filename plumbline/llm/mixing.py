@@ -178,7 +178,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
         last = cut.groupBy(*slot_, "piece").agg(F.max_by("shard", F.when(F.col("shard").isNotNull(), F.col("place"))).alias("last"))
         carried = last.withColumn("carried", F.last("last", True).over(Window.partitionBy(*slot_).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
         to = cut.withColumn("to", F.last("shard", True).over(run)).join(carried, [*slot_, "piece"]).select(
-            F.col(unit).alias(slot), "epoch", F.coalesce("to", "carried").alias("shard")).where("shard >= 0")
+            F.col(unit).alias(slot), "epoch", F.coalesce("to", "carried").cast("int").alias("shard")).where("shard >= 0")
         placed = body.join(to, body[unit].eqNullSafe(to[slot])).select(*[F.col(f"`{c}`") for c in plain], "shard", "epoch", F.col(unit))
     return (placed.withColumn("order_key", F.xxhash64(F.lit(seed + 1), "shard", "epoch", F.col(unit))).drop(unit)
-            .repartition(F.col("shard")).sortWithinPartitions("shard", "order_key"))
+            .repartitionById(shards, F.col("shard")).sortWithinPartitions("order_key"))
