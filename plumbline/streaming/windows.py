@@ -40,6 +40,7 @@ class StreamSettings:
     watermark: str = WATERMARK
     allow_empty_windows: bool = True  #: checks without results are skipped rather than errors
     checkpoint: str | None = None
+    strict: bool = False  #: a row whose event time is behind the watermark is dropped even if its window is still open
 
 
 def event_time(df: DataFrame, by: dict[str, Any] | str = "processing") -> Column:
@@ -60,7 +61,13 @@ def windowed(df: DataFrame, by: dict[str, Any] | str = "processing", settings: S
     """The rows with event time and window start, under the watermark; rows without an event time are dropped."""
     s = settings or StreamSettings()
     df = df.withColumn(EVENT, event_time(df, by)).where(F.col(EVENT).isNotNull())
-    return df.withWatermark(EVENT, s.watermark) if df.isStreaming else df
+    if not df.isStreaming:
+        return df
+    df = df.withWatermark(EVENT, s.watermark)
+    if s.strict:
+        # Every row is its own key: nothing is deduplicated, but rows behind the watermark don't pass.
+        df = df.withColumn("__row", F.expr("uuid()")).dropDuplicatesWithinWatermark(["__row"]).drop("__row")
+    return df
 
 
 def _stream_metric(m: Metric) -> Metric:

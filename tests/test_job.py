@@ -171,3 +171,44 @@ def test_api(spark):
     df = spark.createDataFrame([(1, "a"), (1, None)], "id int, note string")
     rs = Engine(spark).run(api.suggest_for(df, "t"), sources={"t": df})
     assert {c.check_id: c.status for c in rs.checks} == {"t_has_rows": "Success", "t_id_unique": "Failure"}
+
+
+def test_server(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from plumbline.server import serve
+
+    engine = Engine(spark, {"storage": {"dbType": "file", "url": str(tmp_path / "s")}})
+    engine.run({"jobId": "a b", "metrics": {"regular": {"rowCount": [{"id": "n", "source": "t"}]}}}, sources={"t": spark.range(4)}, reference=datetime(2024, 1, 1))
+    server = serve(engine.storage, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def call(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/{path}", body and body.encode()), timeout=60) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert call("validation/job-config", "jobConfig {jobId: x}")[0] == 200 and call("validation/job-config", "jobConfig {}")[0] == 406
+        assert call("validation/app-config", "appConfig {odd: 1}")[0] == 406
+        assert call("config/heuristics", "create table t (id int)")[1]["jobConfig"]["jobId"] == "t_quality" and call("config/heuristics", "drop table t")[0] == 400
+        days = "?start-dt=2023-12-31&end-dt=2024-01-02"
+        assert call(f"storage/jobs{days}")[1][0]["job_id"] == "a b" and call("storage/jobs/a%20b/state")[1][0]["job_id"] == "a b"
+        assert call(f"storage/jobs/a%20b/results{days}")[1]["results_metric_regular"][0]["result"] == 4 and call("nope")[0] == 404
+    finally:
+        server.shutdown()
+
+
+def test_aggregates(spark):
+    from plumbline.functions import aggregates as A
+
+    df = spark.createDataFrame([(1.0, 2.0, [1, 2]), (2.0, 1.0, [3]), (4.0, None, None), (None, 3.0, [4, 5, 6])], "x double, y double, a array<int>")
+    got = df.agg(A.comoment(F.col("x"), F.col("y")).alias("c"), A.collect_list_limit(F.col("x"), 2).alias("l"), A.collect_list_limit(F.col("x"), 0).alias("all"), A.merge_list_limit(F.col("a"), 4).alias("m"),
+                 A.merge_list_limit(F.col("a"), 0).alias("ma"), A.approx_distinct(F.col("x"), 1e-9).alias("d"), A.approx_percentile(F.col("x"), 0.5).alias("q"), A.approx_percentile(F.col("x"), 2.0, direct=True).alias("s")).first()
+    assert got.c == -0.5 and len(got.l) == 2 and sorted(got["all"]) == [1, 2, 4] and len(got.m) == 4 and sorted(got.ma) == [1, 2, 3, 4, 5, 6] and got.d == 3 and got.q == 2 and got.s == pytest.approx(2 / 3)
+    top = spark.createDataFrame([("a",), ("a",), ("b",)], "v string").agg(A.top_n(F.col("v"), 1).alias("t")).first().t
+    assert [(t["item"], t["count"]) for t in top] == [("a", 2)]

@@ -66,3 +66,19 @@ def test_derived_stream(spark, tmp_path):
     frames = {"a": W.windowed(spark.readStream.schema(SCHEMA).json(str(tmp_path / "a")), "ts")}
     job.start(frames, available_now=True).awaitTermination(120)
     assert [(rs.reference, rs.regular[0].result) for rs in job.results] == [(START, 4.0)]
+
+
+@pytest.mark.parametrize("strict,n", [(False, 2), (True, 1)])
+def test_late_rows(spark, tmp_path, strict, n):
+    """A late row of an open window counts by default and is dropped in strict mode."""
+    _write(tmp_path / "a", "0", [(60, "u", 1.0), (720, "u", 1.0)])
+    config = {"jobId": f"late{strict}", "metrics": {"regular": {"rowCount": [{"id": "n", "source": "a"}]}}}
+    job = W.StreamJob.build(Engine(spark), config, W.StreamSettings(trigger="0 seconds", strict=strict), given=("a",))
+    q = job.start({"a": W.windowed(spark.readStream.schema(SCHEMA).json(str(tmp_path / "a")), "ts", job.settings)})
+    q.processAllAvailable()
+    _write(tmp_path / "a", "1", [(360, "u", 1.0)])
+    q.processAllAvailable()
+    _write(tmp_path / "a", "2", [(9000, "u", 1.0)])
+    q.processAllAvailable()
+    q.stop()
+    assert {rs.reference: rs.regular[0].result for rs in job.results}[START] == n
