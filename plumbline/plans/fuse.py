@@ -139,8 +139,8 @@ def errors(df: DataFrame, metrics: list[Metric], key_fields: list[str] | None =
     found = []
     ones = [m for m in metrics if m.kind in SINGLE and m.kind != "rowCount"]
 
-    def struct(m: Metric, names: list[str], message: str) -> Column:
-        return F.struct(F.lit(m.id).alias("metric_id"), F.lit("Failure").alias("status"), F.lit(message).alias("message"), _row_data(df, [*keys, *names]).alias("row_data"))
+    def struct(m: Metric, names: list[str], message: str, of: DataFrame = df) -> Column:
+        return F.struct(F.lit(m.id).alias("metric_id"), F.lit("Failure").alias("status"), F.lit(message).alias("message"), _row_data(of, [*keys, *names]).alias("row_data"))
 
     conditions = []
     for m in ones:
@@ -163,9 +163,11 @@ def errors(df: DataFrame, metrics: list[Metric], key_fields: list[str] | None =
             continue
         cs = cells(df, m.columns)
         names = [c.name for c in cs]
-        rows = df.where(~every([c.col.isNull() for c in cs])).select(struct(m, names, f"Values of columns {names} are duplicates.").alias("e"), *[c.col.alias(f"k{i}") for i, c in enumerate(cs)])
-        nth = F.row_number().over(Window.partitionBy(*[f"k{i}" for i in range(len(cs))]).orderBy(F.to_json("e.row_data")))
-        found.append(rows.withColumn("nth", nth).where("nth > 1").select("e.*"))
+        need = list(dict.fromkeys([*keys, *names]))  # raw columns travel; the row's map is built for duplicates only
+        rows = df.where(~every([c.col.isNull() for c in cs])).select(*[cells(df, [n])[0].col.alias(n) for n in need])
+        nth = F.row_number().over(Window.partitionBy(*[c.col for c in cells(rows, names)]).orderBy(*[c.text for c in cells(rows, need)]))
+        again = rows.withColumn("__nth", nth).where("__nth > 1")
+        found.append(again.select(struct(m, names, f"Values of columns {names} are duplicates.", again).alias("e")).select("e.*"))
     if not found:
         return df.sparkSession.createDataFrame([], "metric_id string, status string, message string, row_data map<string,string>")
     out = found[0]
