@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import docs_type
-from .textkit import Words, slices
+from .textkit import Words, mix64, slices
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM = 8, 8
 NGRAMS = (4, 5)
+PREFIXES = (5, 6, 7, 8)  #: lengths of the n-grams that stand at a word's begin, told apart from those inside
 #: Bounds of the labelled sample the model is fitted on (rows of each class; characters of one text).
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 3072, 1 << 16
+SAMPLE_PER_CLASS, SAMPLE_CHARS = 1024, 20_000
 MAX_WORDS, MAX_NGRAMS = 8192, 16384  #: features kept, by how far their class shares differ
+_AT_BEGIN = np.uint64(0x5851F42D4C957F2D)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -49,6 +51,9 @@ class Vocabulary:
             who = np.repeat(np.arange(len(size)), count)
             at = start[who] + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
             owner.append(who), gram.append(words.spans(at, at + n))
+        for n in PREFIXES:
+            who = np.flatnonzero(size >= n)
+            owner.append(who), gram.append(mix64(words.spans(start[who], start[who] + n) + _AT_BEGIN))
         self.owner, self.gram = np.concatenate(owner), np.concatenate(gram)
 
 
@@ -72,10 +77,16 @@ class Model:
         self.words, self.grams, self.threshold = words, grams, 0.5
         self.p = {"Ew": normal(len(words) + 1, DIM), "Ec": normal(len(grams) + 1, DIM), "W": normal(2 * DIM, 6 * HIDDEN),
                   "b": np.zeros(6 * HIDDEN, np.float32), "U": normal(2, HIDDEN, 3 * HIDDEN), "v": normal(2 * HIDDEN),
-                  "o": normal(2 * HIDDEN), "c": np.full(1, -1, np.float32)}
+                  "o": normal(2 * HIDDEN), "c": np.full(1, -2, np.float32)}
         self.p["Ew"][0] = self.p["Ec"][0] = 0
         self.p["Ew"][1:, 0] = word_odds
         self.p["Ec"][1:, 0] = gram_odds
+        # The first unit of either direction starts out following the odds, so few labels are enough to start from.
+        for d in (0, 1):
+            at = d * 3 * HIDDEN
+            self.p["W"][[0, DIM], at + 2 * HIDDEN] = 0.5, 0.25
+            self.p["b"][at] = -2
+            self.p["v"][d * HIDDEN] = self.p["o"][d * HIDDEN] = 2
 
     def known(self, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word ids, and the known n-grams as (owner, id) sorted by owner."""
@@ -198,19 +209,32 @@ def _odds(keys: np.ndarray, row: np.ndarray, label: np.ndarray, most: int, least
     return k[first][best], np.clip(odds, -4, 4).astype(np.float32)
 
 
-def train(texts: pa.Array, label: np.ndarray, *, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 7,
-          false_rate: float = 0.003) -> Model | None:
+def _cut(toxic: np.ndarray, clean: np.ndarray, false_cost: float) -> float:
+    """The best threshold for held-out scores, in the middle of the best gap between them; 0.5 if a class is missing."""
+    if not len(toxic) or not len(clean):
+        return 0.5
+    edges = np.unique(np.concatenate([[0.0], toxic, clean, [1.0]]))
+    middle = (edges[1:] + edges[:-1]) / 2
+    gain = (len(toxic) - np.searchsorted(np.sort(toxic), middle)) / len(toxic) - false_cost * (len(clean) - np.searchsorted(np.sort(clean), middle)) / len(clean)
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    return float(middle[best[np.argmax((edges[1:] - edges[:-1])[best])]])
+
+
+def train(texts: pa.Array, label: np.ndarray, *, epochs: int | None = None, batch: int | None = None, rate: float = 0.01, seed: int = 7,
+          false_cost: float = 4) -> Model | None:
     """Fit the network on whole labelled texts (multiple-instance learning over their windows).
 
     In every epoch a toxic text contributes its worst windows as the model
     sees them so far, a clean text its worst one and a random one.  A fifth
-    of the texts is held out; the threshold is the least one, from 0.5 up,
-    at which at most ``false_rate`` of the held-out clean texts are flagged.
-    None if a class is missing.
+    of the texts is held out; the threshold is the one that makes the share of
+    held-out toxic texts caught, less ``false_cost`` times the share of clean
+    ones flagged, largest.  None if a class is missing.
     """
     label = np.asarray(label).astype(np.int64)
     if not len(label) or label.min() == label.max():
         return None
+    batch = batch or int(min(256, max(16, len(label) // 8)))  # few labels: smaller steps, more of them
+    epochs = epochs or int(min(16, max(5, 3000 // len(label))))
     rng = np.random.default_rng(seed)
     words = Words(texts)
     held = rng.random(len(label)) < (0.2 if len(label) >= 50 else 0)
@@ -287,9 +311,8 @@ def train(texts: pa.Array, label: np.ndarray, *, epochs: int = 5, batch: int = 2
             prob[at:at + 4096] = _sigmoid(model.forward(pre[word], mask))
     best = np.zeros(len(label))
     np.maximum.at(best, row, prob)
-    calm = np.sort(best[held & (label == 0)] if held.any() else best[label == 0])[::-1]
-    if len(calm):
-        model.threshold = float(max(0.5, min(0.99, calm[min(len(calm) - 1, int(false_rate * len(calm)))] + 1e-3)))
+    judged = held if held.any() else np.ones(len(label), bool)
+    model.threshold = _cut(best[judged & (label == 1)], best[judged & (label == 0)], false_cost)
     model.held_out = {"toxic": best[held & (label == 1)].tolist(), "clean": best[held & (label == 0)].tolist()}
     return model
 
