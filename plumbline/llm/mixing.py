@@ -105,7 +105,8 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
     about ``BUCKET_DOCS`` ids are sorted apart and offset by the counts
     before them), which yields the hashes at which one shard ends and the
     next begins.  Given these, a document finds its shard where it is read,
-    so texts move once, to their shard.
+    so texts move once, to their shard.  The driver holds a number for each
+    source, epoch and shard: let ``shard_docs`` grow with the corpus.
     """
     shelf = Shelf(spark)
     unit, src, slot, hash_, bounds = fresh(docs, "unit", "src", "slot", "hash", "bounds")
@@ -124,17 +125,20 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
     shards = max(1, -(-sum(quota.values()) // shard_docs))
     dealt = deal(np.array([-(-n // block_docs) for _, _, n in slots]), shards, seed).cumsum(axis=0)
     # A slot is a source in one epoch.  It has a boundary where a shard with blocks of it begins.
-    marks = []
+    names, epochs, places, owners = [], [], [], []
     for k, (s, e, n) in enumerate(slots):
         ends = np.minimum(dealt[:, k] * block_docs, n)
         begins = np.r_[0, ends[:-1]]
         has = np.flatnonzero(ends > begins)
-        marks += [(s, e, int(begins[i]), int(i)) for i in has]
-        if n < counts[s]:
-            marks.append((s, e, n, -1))  # beyond the quota
+        beyond = [n] if n < counts[s] else []  # what lies beyond the quota belongs to no shard
+        places += [begins[has], np.array(beyond, np.int64)]
+        owners += [has, np.full(len(beyond), -1)]
+        names.append(np.full(len(has) + len(beyond), s, object))
+        epochs.append(np.full(len(has) + len(beyond), e, np.int32))
+    marks = pd.DataFrame({src: np.concatenate(names), "epoch": np.concatenate(epochs), "place": np.concatenate(places).astype(np.int64), "shard": np.concatenate(owners).astype(np.int32)})
     spread = {s: -(-quota[s] // counts[s]) for s in quota}
     plan = spark.createDataFrame(pd.DataFrame([(s, spread[s], -(-counts[s] // BUCKET_DOCS)) for s in quota], columns=[src, "epochs", "buckets"]))
-    cuts = spark.createDataFrame(pd.DataFrame(marks, columns=[src, "epoch", "place", "shard"]))
+    cuts = spark.createDataFrame(marks)
     drawn = (ids.join(F.broadcast(plan) if len(quota) <= 100_000 else plan, src)
              .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int") - 1)))
              .withColumn(hash_, F.xxhash64(F.lit(seed), F.col("epoch"), F.col(unit))))
