@@ -42,7 +42,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the (odd) base and of its inverse modulo 2**64, n of each at least."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        n = 1 << max(20, (n - 1).bit_length())
+        n = -(-n // (1 << 20)) << 20
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(n, base, dtype=np.uint64)
             steps[0] = 1

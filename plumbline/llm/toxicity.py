@@ -45,16 +45,16 @@ class Vocabulary:
     def __init__(self, words: Words):
         self.hash, first, self.inverse = np.unique(words.hash, return_index=True, return_inverse=True)
         start, size = words.start[first], words.end[first] - words.start[first]
-        owner, gram = [], []
+        #: (owner, n-gram) by kind; the kinds share no key
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
         for n in NGRAMS:
             count = np.maximum(size - n + 1, 0)
-            who = np.repeat(np.arange(len(size)), count)
+            who = np.repeat(np.arange(len(size), dtype=np.int32), count)
             at = start[who] + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-            owner.append(who), gram.append(words.spans(at, at + n))
+            self.pieces.append((who, words.spans(at, at + n)))
         for n in PREFIXES:
-            who = np.flatnonzero(size >= n)
-            owner.append(who), gram.append(mix64(words.spans(start[who], start[who] + n) + _AT_BEGIN))
-        self.owner, self.gram = np.concatenate(owner), np.concatenate(gram)
+            who = np.flatnonzero(size >= n).astype(np.int32)
+            self.pieces.append((who, mix64(words.spans(start[who], start[who] + n) + _AT_BEGIN)))
 
 
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,10 +90,14 @@ class Model:
 
     def known(self, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word ids, and the known n-grams as (owner, id) sorted by owner."""
-        gram = _lookup(self.grams, vocab.gram)
-        has = np.flatnonzero(gram)
-        has = has[np.argsort(vocab.owner[has], kind="stable")]
-        return _lookup(self.words, vocab.hash), vocab.owner[has], gram[has]
+        owners, grams = [], []
+        for owner, gram in vocab.pieces:
+            at = _lookup(self.grams, gram)
+            has = np.flatnonzero(at)
+            owners.append(owner[has]), grams.append(at[has])
+        owner, gram = np.concatenate(owners), np.concatenate(grams)
+        order = np.argsort(owner, kind="stable")
+        return _lookup(self.words, vocab.hash), owner[order], gram[order]
 
     def inputs(self, wid, owner, gram):
         """Input vectors of distinct words, and what the backward pass needs."""
@@ -191,8 +195,8 @@ class Model:
         return best, np.bincount(row, minlength=words.rows)
 
 
-def _odds(keys: np.ndarray, row: np.ndarray, label: np.ndarray, most: int, least_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The features that best tell the classes apart: sorted keys and their shrunken log-odds."""
+def _odds(keys: np.ndarray, row: np.ndarray, label: np.ndarray, most: int, least_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that best tell the classes apart: sorted keys, their shrunken log-odds, and how far the classes differ."""
     order = np.lexsort((row, keys))
     k, r = keys[order], row[order]
     new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool)
@@ -206,7 +210,7 @@ def _odds(keys: np.ndarray, row: np.ndarray, label: np.ndarray, most: int, least
     best = np.flatnonzero(total >= least_rows)
     best = np.sort(best[np.argsort(-np.abs(z[best]), kind="stable")[:most]])
     odds = np.log((a[best] * P + 3) / (P + 3)) - np.log((b[best] * N + 3) / (N + 3)) + np.log((N + 3) / (N + 6)) * 0
-    return k[first][best], np.clip(odds, -4, 4).astype(np.float32)
+    return k[first][best], np.clip(odds, -4, 4).astype(np.float32), np.abs(z[best])
 
 
 def _cut(toxic: np.ndarray, clean: np.ndarray, false_cost: float) -> float:
@@ -241,16 +245,23 @@ def train(texts: pa.Array, label: np.ndarray, *, epochs: int | None = None, batc
     vocab = Vocabulary(words)
     fit = ~held[words.doc]
     least = 3 if len(label) < 2000 else 5
-    wk, wo = _odds(words.hash[fit], words.doc[fit], label, MAX_WORDS, least)
-    order = np.argsort(vocab.inverse, kind="stable")  # occurrences by distinct word, to hand n-grams their rows
-    seen = np.unique(np.stack([vocab.inverse[fit], words.doc[fit]], 1), axis=0) if fit.any() else np.zeros((0, 2), np.int64)
-    at = np.searchsorted(seen[:, 0], np.arange(len(vocab.hash) + 1))
-    n = np.diff(at)[vocab.owner]
-    take = np.repeat(at[:-1][vocab.owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    gk, go = _odds(np.repeat(vocab.gram, n), seen[take, 1], label, MAX_NGRAMS, least)
-    del order, take, seen
+    wk, wo, _ = _odds(words.hash[fit], words.doc[fit], label, MAX_WORDS, least)
+    seen = np.unique(vocab.inverse[fit] * np.int64(words.rows) + words.doc[fit])  # (distinct word, row), to hand n-grams their rows
+    seen, seen_row = np.divmod(seen, np.int64(max(1, words.rows)))
+    at = np.searchsorted(seen, np.arange(len(vocab.hash) + 1))
+    found = []
+    for owner, gram in vocab.pieces:
+        n = np.diff(at)[owner]
+        take = np.repeat(at[:-1][owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found.append(_odds(np.repeat(gram, n), seen_row[take], label, MAX_NGRAMS, least))
+    gk, go, gz = (np.concatenate(x) for x in zip(*found))
+    top = np.argsort(-gz, kind="stable")[:MAX_NGRAMS]
+    top = top[np.argsort(gk[top])]
+    gk, go = gk[top], go[top]
+    del seen, seen_row, at, found, gz
     model = Model(wk, gk, wo, go, seed)
     wid, owner, gram = model.known(vocab)
+    vocab.pieces = words.prefix = words.hash = None  # the driver's memory is small, and these are large
     bounds = np.searchsorted(owner, np.arange(len(wid) + 1))
     start, size, row = windows(words.count)
     x = model.inputs(wid, owner, gram)
