@@ -181,7 +181,7 @@ def _join(how: str) -> None:
         frames = {"bought": table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("k"), "o_orderkey"),
                   "buyers": table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name")}
         got = V.derive_all(spark, [{"id": "j", "kind": "join", "parentSources": ["bought", "buyers"], "joinBy": ["k"], "joinType": how}], frames)["j"]
-        return got.fillna({"o_orderkey": -1, "c_name": "none"})
+        return got.fillna({c: v for c, v in (("o_orderkey", -1), ("c_name", "none")) if c in got.columns})
 
     QUERIES[f"virtual_join_{how.lower()}"] = run
     a, b = "(SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey % 3 = 0) a", "(SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 2 = 0) b"
