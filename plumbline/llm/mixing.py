@@ -95,9 +95,9 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
     permutation (``epoch`` 1, 2, ...), never twice in one epoch.  Each shard
     is one partition, sorted by ``order_key``, a random number.
 
-    The unit is a document id: repeated rows and null ids go where their id
-    goes and count once (a null id is one unit).  A null source is a source
-    of its own.  Empty and long texts are documents like others.  An empty
+    The unit is a document id in a source: repeated rows and null ids go
+    where their id goes and count once in each source that holds them (a null
+    id is one unit of its source).  A null source is a source of its own.  Empty and long texts are documents like others.  An empty
     table, or weights that name none of its sources, give an empty result.
     Columns that clash with the three new ones are replaced by them.
 
@@ -110,7 +110,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
     """
     shelf = Shelf(spark)
     unit, src, slot, hash_, bounds = fresh(docs, "unit", "src", "slot", "hash", "bounds")
-    ids = docs.select(_key(docs[source]).alias(src), docs[doc_id].cast("string").alias(unit)).groupBy(unit).agg(F.min(src).alias(src))
+    ids = docs.select(_key(docs[source]).alias(src), docs[doc_id].cast("string").alias(unit)).distinct()
     ids = shelf.put(ids)
     counts = {r[0]: r[1] for r in ids.groupBy(src).count().collect()}
     if weights is None:
@@ -176,13 +176,13 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
         placed = body.withColumn(slot, F.explode(place(F.col(src), *hashes))).select(
             *[F.col(f"`{c}`") for c in plain], F.col(f"{slot}.shard").alias("shard"), F.col(f"{slot}.epoch").alias("epoch"), F.col(unit))
     else:
-        # Too many boundaries to broadcast: each id's shard is found by a running maximum and joined by id.
+        # Too many boundaries to broadcast: each unit's shard is found by a running maximum and joined by source and id.
         run = Window.partitionBy(*slot_, "piece").orderBy(hash_, unit)
         cut = ranked.join(before, [*slot_, "piece"]).withColumn("place", F.col("before") + F.col("at")).join(cuts, [*slot_, "place"], "left")
         last = cut.groupBy(*slot_, "piece").agg(F.max_by("shard", F.when(F.col("shard").isNotNull(), F.col("place"))).alias("last"))
         carried = last.withColumn("carried", F.last("last", True).over(Window.partitionBy(*slot_).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
         to = cut.withColumn("to", F.last("shard", True).over(run)).join(carried, [*slot_, "piece"]).select(
-            F.col(unit).alias(slot), "epoch", F.coalesce("to", "carried").cast("int").alias("shard")).where("shard >= 0")
-        placed = body.join(to, body[unit].eqNullSafe(to[slot])).select(*[F.col(f"`{c}`") for c in plain], "shard", "epoch", F.col(unit))
+            F.col(unit).alias(slot), F.col(src).alias(hash_), "epoch", F.coalesce("to", "carried").cast("int").alias("shard")).where("shard >= 0")
+        placed = body.join(to, (body[src] == to[hash_]) & body[unit].eqNullSafe(to[slot])).select(*[F.col(f"`{c}`") for c in plain], "shard", "epoch", F.col(unit))
     return (placed.withColumn("order_key", F.xxhash64(F.lit(seed + 1), "shard", "epoch", F.col(unit))).drop(unit)
             .repartitionById(shards, F.col("shard")).sortWithinPartitions("order_key"))
