@@ -7,20 +7,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shelf import Shelf
 
 #: (kind, pattern): tried in this order at each place of a text.  The syntax is the
-#: common ground of Java's and RE2's engines; case is explicit; no look-around.
+#: common ground of Java's and RE2's engines (a private key's is Java's); case is explicit; no look-around.
+_BEGIN = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+_END = "-----END [A-Z ]{0,24}PRIVATE KEY-----"
+_GAP = r"(?:\s|\\[rnt])"  #: white space, also as written in a JSON string
+_PEM_HEAD = r"[A-Za-z-]{1,40}: [^\r\n\\]{1,200}"
+#: Header lines and base64 through END, or as far as the lines of a truncated block go.
+_PEM = (f"{_BEGIN}(?:{_GAP}{{0,9}}{_PEM_HEAD}){{0,8}}(?:" r"[A-Za-z0-9+/=\s\\\"',]*+" f"{_END}"
+        f"|(?:{_GAP}{{1,9}}[A-Za-z0-9+/=]{{32,}}){{0,400}}(?:{_GAP}{{1,9}}[A-Za-z0-9+/=]++{_GAP}*+$)?)")
 RULES = (
     ("aws_access_key", "AKIA[0-9A-Z]{16}"),
     ("github_token", "gh[pousr]_[A-Za-z0-9]{36}"),
     ("slack_token", "xox[abprs]-[0-9A-Za-z-]{10,72}"),
     ("google_api_key", "AIza[0-9A-Za-z_-]{35}"),
     ("stripe_key", "[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}"),
-    ("private_key", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    ("private_key", _PEM),
     ("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"),
     ("assigned_secret",
      "(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)"
      "[ ]?[:=][ ]?[\"']?[0-9A-Za-z_+/-]{8,}"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in RULES)
+#: What :func:`scan_sql` looks for: of a private key only its header line.
+_SQL_PATTERN = "|".join(f"(?:{p})" for p in (*(("-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----" if k == "private_key" else p) for k, p in RULES),))
 #: Values that only illustrate: markers found in documentation.
 PLACEHOLDER = "EXAMPLE|[Ee]xample|XXXX|xxxx|CHANGEME|[Cc]hangeme|YOUR_|[Yy]our_|00000000|12345678|[Pp]laceholder|[Dd]ummy"
 _PREFIX = "^(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)[ ]?[:=][ ]?[\"']?"
@@ -36,6 +45,13 @@ def _kind(found: Column) -> Column:
     return out.otherwise("assigned_secret")
 
 
+def _key_body(found: Column) -> Column:
+    """Base64 of a private key without white space; the header line if nothing follows it."""
+    body = F.regexp_replace(found, f"{_BEGIN}|{_END}", "")
+    body = F.regexp_replace(F.regexp_replace(body, _PEM_HEAD, ""), r"\\[rnt]|[^A-Za-z0-9+/=]", "")
+    return F.when(body != "", body).otherwise(F.regexp_extract(found, _BEGIN, 0))
+
+
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source",
          repository: tuple[str, ...] = ("source", "lang"), copied_owners: int = 2, min_chars: int = 12) -> DataFrame:
     """Every secret found, with how widely the corpus carries it.
@@ -50,6 +66,10 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     * ``live``: held by one owner, ``min_chars`` characters or more, with digits and letters;
     * ``weak``: held by one owner but too short or too plain to be a credential.
 
+    The value of a private key is its base64 body without white space, so
+    copies with other line ends are one secret; a block without END goes as far
+    as its lines of base64 do, and a header alone stands for itself.
+
     Null and empty texts hold nothing.  A null id still counts as a document of
     its own row key; a null owner or repository part counts as one more value.
     Repeated rows add occurrences, not documents.  An empty table gives an
@@ -65,8 +85,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     hits = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(owner).cast("string"), F.lit("\u0002")).alias("owner"), repo.alias("repo"),
         F.explode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("found"))
-    value = F.regexp_replace("found", _PREFIX, "")
     kind = _kind(F.col("found"))
+    value = F.when(kind == "private_key", _key_body(F.col("found"))).otherwise(F.regexp_replace("found", _PREFIX, ""))
     hits = hits.select("doc_id", "owner", "repo", kind.alias("kind"), value.alias("value"))
     hits = hits.select(
         "doc_id", "owner", "repo", "kind", F.sha2("value", 256).alias("secret_hash"),
@@ -87,12 +107,12 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for :func:`scan` over ``documents`` with its default parameters."""
+    """DuckDB SQL for :func:`scan` over ``documents`` with its default parameters; of a private key it knows only the header line."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     return f"""
 WITH found AS (
   SELECT doc_id, coalesce(source, chr(2)) AS owner, coalesce(source, chr(2)) || chr(1) || coalesce(lang, chr(2)) AS repo,
-         unnest(regexp_extract_all(text, {quote(PATTERN)})) AS hit
+         unnest(regexp_extract_all(text, {quote(_SQL_PATTERN)})) AS hit
   FROM documents),
 named AS (
   SELECT doc_id, owner, repo,
