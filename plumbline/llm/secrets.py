@@ -35,13 +35,15 @@ PLACEHOLDER = "EXAMPLE|[Ee]xample|XXXX|xxxx|CHANGEME|[Cc]hangeme|YOUR_|[Yy]our_|
 _PREFIX = "^(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)[ ]?[:=][ ]?[\"']?"
 
 
-def _kind(found: Column) -> Column:
-    starts = (("aws_access_key", "AKIA"), ("github_token", "gh"), ("slack_token", "xox"), ("google_api_key", "AIza"),
-              ("private_key", "-----"), ("jwt", "eyJ"))
+#: Credentials with a form of their own, which they keep where they are assigned.
+_FORMS = tuple((k, p) for k, p in RULES if k not in ("private_key", "assigned_secret"))
+
+
+def _kind(value: Column) -> Column:
+    """The kind of a value, wherever it stood."""
     out = F
-    for kind, start in starts:
-        out = out.when(found.startswith(start), kind)
-    out = out.when(found.rlike("^[sr]k_(?:live|test)_"), "stripe_key")
+    for kind, pattern in _FORMS:
+        out = out.when(value.rlike(f"^(?:{pattern})$"), kind)
     return out.otherwise("assigned_secret")
 
 
@@ -52,6 +54,11 @@ def _key_body(found: Column) -> Column:
     return F.when(body != "", body).otherwise(F.regexp_extract(found, _BEGIN, 0))
 
 
+def _plain(found: Column) -> Column:
+    """The value without what it is assigned to."""
+    return F.regexp_replace(found, _PREFIX, "")
+
+
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source",
          repository: tuple[str, ...] = ("source", "lang"), copied_owners: int = 2, min_chars: int = 12) -> DataFrame:
     """Every secret found, with how widely the corpus carries it.
@@ -66,6 +73,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     * ``live``: held by one owner, ``min_chars`` characters or more, with digits and letters;
     * ``weak``: held by one owner but too short or too plain to be a credential.
 
+    The kind is that of the value, and a value is counted under its hash alone:
+    a token that is assigned somewhere and stands bare elsewhere is one secret.
     The value of a private key is its base64 body without white space, so
     copies with other line ends are one secret; a block without END goes as far
     as its lines of base64 do, and a header alone stands for itself.
@@ -85,9 +94,11 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     hits = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(owner).cast("string"), F.lit("\u0002")).alias("owner"), repo.alias("repo"),
         F.explode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("found"))
-    kind = _kind(F.col("found"))
-    value = F.when(kind == "private_key", _key_body(F.col("found"))).otherwise(F.regexp_replace("found", _PREFIX, ""))
-    hits = hits.select("doc_id", "owner", "repo", kind.alias("kind"), value.alias("value"))
+    pem = F.col("found").startswith("-----BEGIN")
+    value = F.when(pem, _key_body(F.col("found"))).otherwise(_plain(F.col("found")))
+    hits = hits.select("doc_id", "owner", "repo", pem.alias("pem"), value.alias("value"))
+    kind = F.when(F.col("pem"), "private_key").otherwise(_kind(F.col("value")))
+    hits = hits.select("doc_id", "owner", "repo", kind.alias("kind"), "value")
     hits = hits.select(
         "doc_id", "owner", "repo", "kind", F.sha2("value", 256).alias("secret_hash"),
         F.col("value").rlike(PLACEHOLDER).alias("placeholder"),
@@ -95,19 +106,20 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     per_doc = hits.groupBy("doc_id", "owner", "repo", "kind", "secret_hash").agg(
         F.count(F.lit(1)).alias("occurrences"), F.max("placeholder").alias("placeholder"), F.max("strong").alias("strong"))
     per_doc = Shelf(docs.sparkSession).put(per_doc)
-    corpus = per_doc.groupBy("kind", "secret_hash").agg(
+    corpus = per_doc.groupBy("secret_hash").agg(
         F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0002"))).alias("n_docs"),
         F.count_distinct("repo").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
     verdict = (F.when(F.col("placeholder") | (F.col("n_owners") >= copied_owners), "example")
                .when(F.col("strong"), "live").otherwise("weak"))
     rows = per_doc.groupBy("doc_id", "kind", "secret_hash").agg(
         F.sum("occurrences").alias("occurrences"), F.max("placeholder").alias("placeholder"), F.max("strong").alias("strong"))
-    return rows.join(corpus, ["kind", "secret_hash"]).select(
+    return rows.join(corpus, "secret_hash").select(
         "doc_id", "kind", "secret_hash", "occurrences", "n_docs", "n_repositories", "n_owners", verdict.alias("verdict"))
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for :func:`scan` over ``documents`` with its default parameters; of a private key it knows only the header line."""
+    """DuckDB SQL for :func:`scan` over ``documents`` with its default parameters; of a private key it knows only the header line, and it
+    takes the kind from what stands before the value."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     return f"""
 WITH found AS (

@@ -24,3 +24,11 @@ def test_private_keys(spark):
     assert {got[i, "private_key"].secret_hash for i in (2, 3, 4)} == {two.secret_hash} and two.n_docs == 3
     assert len({r.secret_hash for r in got.values()}) == 6 and got[7, "private_key"].verdict == "weak"
     assert {got[i, "private_key"].verdict for i in (5, 6, 8)} == {"live"}
+
+
+def test_assigned_and_bare_are_one_secret(spark):
+    tokens = ["ghp_" + "a1" * 18, "AKIA" + "ABCDEFGH12345QRS", "AIza" + "a1b2c" * 7, "sk_" + "live_" + "a1" * 12]
+    rows = [(10 * i + k, t, s) for i, v in enumerate(tokens) for k, (t, s) in enumerate([(f'token = "{v}"', "a"), (f"see {v} there", "b")])]
+    got = scanned(spark, rows)
+    assert {k for _, k in got} == {"github_token", "aws_access_key", "google_api_key", "stripe_key"} and len(got) == 8
+    assert all((r.n_docs, r.n_repositories, r.n_owners) == (2, 2, 2) for r in got.values())
