@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shelf import Shelf
 
 #: (kind, pattern): tried in this order at each place of a text.  The syntax is the
-#: common ground of Java's and RE2's engines (a private key's is Java's); case is explicit; no look-around.
+#: common ground of Java's and RE2's engines but for private keys and assignments, which are Java's.
 _BEGIN = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 _END = "-----END [A-Z ]{0,24}PRIVATE KEY-----"
 _GAP = r"(?:\s|\\[rnt])"  #: white space, also as written in a JSON string
@@ -15,6 +15,11 @@ _PEM_HEAD = r"[A-Za-z-]{1,40}: [^\r\n\\]{1,200}"
 #: Header lines and base64 through END, or as far as the lines of a truncated block go.
 _PEM = (f"{_BEGIN}(?:{_GAP}{{0,9}}{_PEM_HEAD}){{0,8}}(?:" r"[A-Za-z0-9+/=\s\\\"',]*+" f"{_END}"
         f"|(?:{_GAP}{{1,9}}[A-Za-z0-9+/=]{{32,}}){{0,400}}(?:{_GAP}{{1,9}}[A-Za-z0-9+/=]++{_GAP}*+$)?)")
+#: A key word with what follows in its name, up to the sign and the white space after it.
+_ASSIGN = r"(?i:passw(?:or)?d|secret|token|api[_-]?key)[A-Za-z0-9_-]{0,24}\\?[\"']?\s*+[:=]=?+>?+\s*+"
+#: Quoted to its quote (one after a backslash is part of the value), or unquoted on the line of its sign to white space; private keys have their own rule.
+_VALUE = (r"(?:(?!\\?[\"']?-----BEGIN )(?:" r'"(?=(?:[^"\\\r\n]|\\.){8})[^\r\n]*?[^\\\r\n]"' r"|'(?=(?:[^'\\\r\n]|\\.){8})[^\r\n]*?[^\\\r\n]'"
+          r"|\\[\"'][^\"'\\\r\n]{8,}|" r'"(?![^"\r\n]*")\S{8,}' r"|'(?![^'\r\n]*')\S{8,}|(?<![\r\n][ \t]{0,99})[^\s\"'\\]\S{7,}))")
 RULES = (
     ("aws_access_key", "AKIA[0-9A-Z]{16}"),
     ("github_token", "gh[pousr]_[A-Za-z0-9]{36}"),
@@ -23,18 +28,17 @@ RULES = (
     ("stripe_key", "[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}"),
     ("private_key", _PEM),
     ("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"),
-    ("assigned_secret",
-     "(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)"
-     "[ ]?[:=][ ]?[\"']?[0-9A-Za-z_+/-]{8,}"),
+    ("assigned_secret", _ASSIGN + _VALUE),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in RULES)
-#: What :func:`scan_sql` looks for: of a private key only its header line.
-_SQL_PATTERN = "|".join(f"(?:{p})" for p in (*(("-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----" if k == "private_key" else p) for k, p in RULES),))
+#: What :func:`scan_sql` looks for: of a private key only its header line, and fewer forms of assignment.
+_SQL_RULES = {"private_key": _BEGIN, "assigned_secret": (
+    "(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)"
+    "[ ]?[:=][ ]?[\"']?[0-9A-Za-z_+/-]{8,}")}
+_SQL_PATTERN = "|".join(f"(?:{_SQL_RULES.get(k, p)})" for k, p in RULES)
 #: Values that only illustrate: markers found in documentation.
 PLACEHOLDER = "EXAMPLE|[Ee]xample|XXXX|xxxx|CHANGEME|[Cc]hangeme|YOUR_|[Yy]our_|00000000|12345678|[Pp]laceholder|[Dd]ummy"
-_PREFIX = "^(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)[ ]?[:=][ ]?[\"']?"
-
-
+_SQL_PREFIX = "^(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)[ ]?[:=][ ]?[\"']?"
 #: Credentials with a form of their own, which they keep where they are assigned.
 _FORMS = tuple((k, p) for k, p in RULES if k not in ("private_key", "assigned_secret"))
 
@@ -55,8 +59,13 @@ def _key_body(found: Column) -> Column:
 
 
 def _plain(found: Column) -> Column:
-    """The value without what it is assigned to."""
-    return F.regexp_replace(found, _PREFIX, "")
+    """The value without what it is assigned to, its quotes and the separators after it."""
+    value = F.regexp_replace(found, f"^{_ASSIGN}", "")
+    quoted = value.rlike("^(?:\"[^\\r\\n]*\"|'[^\\r\\n]*')$")
+    bare = F.regexp_replace(F.regexp_replace(value, r"^\\?[\"']", ""), r"[\"'\\,;]+$", "")
+    bare = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(bare)
+    known = F.regexp_extract(bare, "^(?:" + "|".join(p for _, p in _FORMS) + ")(?![A-Za-z0-9_/+=-])", 0)
+    return F.when(value == found, found).when(known != "", known).otherwise(bare)
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source",
@@ -75,6 +84,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
 
     The kind is that of the value, and a value is counted under its hash alone:
     a token that is assigned somewhere and stands bare elsewhere is one secret.
+    An assigned value goes to its closing quote, an unquoted one to white space
+    (commas, semicolons and quotes at its end are not part of it).
     The value of a private key is its base64 body without white space, so
     copies with other line ends are one secret; a block without END goes as far
     as its lines of base64 do, and a header alone stands for itself.
@@ -118,8 +129,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for :func:`scan` over ``documents`` with its default parameters; of a private key it knows only the header line, and it
-    takes the kind from what stands before the value."""
+    """DuckDB SQL for :func:`scan` over ``documents`` with its default parameters; of a private key it knows only the header line, of assigned
+    values only plain characters, and it takes the kind from what stands before the value."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     return f"""
 WITH found AS (
@@ -132,7 +143,7 @@ named AS (
          WHEN starts_with(hit,'xox') THEN 'slack_token' WHEN starts_with(hit,'AIza') THEN 'google_api_key'
          WHEN starts_with(hit,'-----') THEN 'private_key' WHEN starts_with(hit,'eyJ') THEN 'jwt'
          WHEN regexp_matches(hit,'^[sr]k_(?:live|test)_') THEN 'stripe_key' ELSE 'assigned_secret' END AS kind,
-    regexp_replace(hit, {quote(_PREFIX)}, '') AS value
+    regexp_replace(hit, {quote(_SQL_PREFIX)}, '') AS value
   FROM found),
 per_doc AS (
   SELECT doc_id, owner, repo, kind, sha256(value) AS secret_hash, count(*) AS n,

@@ -32,3 +32,18 @@ def test_assigned_and_bare_are_one_secret(spark):
     got = scanned(spark, rows)
     assert {k for _, k in got} == {"github_token", "aws_access_key", "google_api_key", "stripe_key"} and len(got) == 8
     assert all((r.n_docs, r.n_repositories, r.n_owners) == (2, 2, 2) for r in got.values())
+
+
+def test_assigned_values_are_whole(spark):
+    import hashlib
+
+    forms = ["password=Summer2024!a", "password=Summer2024!b", '{"api_key": "k3y-of.json#1"}', "aws_secret_access_key = wJalr/K7MD+ENG==", "secret_key=p@ss:w0rd%99", "token   =  abc123def456",
+             "Password: P@ssw0rd!x99", "password = 'it has 2 blanks'", '"{\\"token\\": \\"escaped!1234\\"}"', 'secret = "unclosed!1234 and', 'secret = "with \\" quote inside 12"', 'token="ab" and "cd"', "Password:\nfollowing1text",
+             "API_KEY => 'a1b2c3d4e5f6!';", "token\t:\tunquoted!1234,", '"client_secret":\n  "next-line!99"']
+    values = ["Summer2024!a", "Summer2024!b", "k3y-of.json#1", "wJalr/K7MD+ENG==", "p@ss:w0rd%99", "abc123def456", "P@ssw0rd!x99", "it has 2 blanks", "escaped!1234", "unclosed!1234",
+              'with \\" quote inside 12', None, None, "a1b2c3d4e5f6!", "unquoted!1234", "next-line!99"]
+    got = scanned(spark, [(i, f, f"s{i}") for i, f in enumerate(forms)])
+    assert {i: r.secret_hash for (i, _), r in got.items()} == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate(values) if v}
+    assert {r.verdict for r in got.values()} == {"live"}
+    long = scanned(spark, [(1, 'token = "' + "ab\\\"1" * 200_000 + '"', "a"), (2, "token = " * 20_000, "a"), (3, 'secret="' + "x1" * 200_000, "b")])
+    assert {i for i, _ in long} >= {1, 3}
