@@ -213,15 +213,23 @@ def _brute(vec: np.ndarray, query: np.ndarray, cosine: float) -> Iterator[tuple[
         yield q + at, j
 
 
-def partners(graph: Graph, query: np.ndarray, cosine: float, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with at least ``cosine``: beams are widened until the audit passes; saturated beams go to brute force."""
+def partners(graph: Graph, query: np.ndarray, cosine: float, seed: int = 3, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs with at least ``cosine``: beams are widened until the audit passes; saturated beams go to brute force.
+
+    ``own``: query i is node i, and that finding proves nothing about the beams, so the audit leaves it out.
+    """
     rng = np.random.default_rng(seed)
     n = len(graph.vec)
     sample = np.sort(rng.choice(len(query), min(AUDIT, len(query)), replace=False))
     true = [np.concatenate(x) for x in zip(*_brute(graph.vec, query[sample], cosine))]
     wanted = set(zip(sample[true[0]].tolist(), true[1].tolist()))
+    if own:
+        wanted = {(q, i) for q, i in wanted if q != i}
     # Only audited queries with partners tell; the best few of the others' nodes are audited too, at their own cosine.
-    best = (query[sample] @ graph.vec.T).argmax(1)
+    near = query[sample] @ graph.vec.T
+    if own:
+        near[np.arange(len(sample)), sample] = -np.inf
+    best = near.argmax(1)
     ef = min(n, EF_SEARCH)
     while True:
         small_ids, small_sims = graph.find(query[sample], ef)
@@ -301,7 +309,7 @@ def near_groups(spark: SparkSession, vectors: DataFrame, *, vec_id: str = "vec_i
         right = right.sort_by("id")
         other = right.column("id").to_numpy()
         same = key[1].as_py() == key[2].as_py()
-        q, j = partners(graph, stack(right), cosine)
+        q, j = partners(graph, stack(right), cosine, own=same)
         if same:
             keep = q != j
             a, b, all_ids = q[keep], j[keep], ids
