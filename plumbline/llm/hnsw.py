@@ -1,12 +1,16 @@
 """Embedding near-deduplication with a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash of their id.  Each shard builds its
-graph; every vector is then searched in every shard (each pair of shards
-once).  Searches run for many queries together: a beam per query, a step of
-which expands its best open nodes by array operations.  Beams are widened
-until audits against brute force pass, a query whose whole beam lies within
-the threshold is answered by brute force, and every reported pair has its
-cosine verified.  Pairs are joined to components.
+Equal vectors are one node.  The nodes are dealt to shards by a hash of the
+vector.  Each shard builds its graph; every vector is then searched in every
+shard (each pair of shards once).  Searches run for many queries together: a
+beam per query, a step of which expands its best open nodes by array
+operations.  Beams are widened until audits pass: sampled queries against
+brute force, and probes made to lie exactly at the threshold from sampled
+nodes.  A query whose whole beam lies within the threshold has more partners
+than the beam holds and is compared with the whole shard; of those partners
+only the ones that are not yet in its group are looked at, so a cluster of a
+million near copies never becomes pairs.  Every link has its cosine verified,
+and links are joined to components.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from .simhash import merge_labels
 COSINE = 0.92  #: vectors at least this alike are near copies
 LINKS = 12  #: links of a node on the upper levels; twice as many on the lowest
 EF_BUILD, EF_SEARCH = 32, 24
-SHARD_ROWS = 8192
-AUDIT, RECALL = 96, 0.97  #: queries audited for each pair of shards; share of their partners that must be found
+#: Without a given size, shards hold the geometric mean of the number of vectors and MEAN_ROWS, within these bounds: the number of searches
+#: (vectors times shards) then grows with the power 1.5 of the input until shards are as large as a task's memory allows.
+MEAN_ROWS, LEAST_SHARD, LARGEST_SHARD = 4096, 8192, 1 << 18
+AUDIT, RECALL = 96, 0.97  #: queries and probes audited for each pair of shards; share of their partners that must be found
 _BLOCK = 512  #: queries that walk together
 
 
@@ -207,62 +213,110 @@ class Graph:
         return out
 
 
-def _brute(vec: np.ndarray, query: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for at in range(0, len(query), 1024):
-        q, j = np.nonzero(query[at:at + 1024] @ vec.T >= cosine)
-        yield q + at, j
+def _hits(vec: np.ndarray, query: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, (queries, nodes) whether the cosine reaches the threshold) in blocks of bounded memory."""
+    block = max(1, (1 << 23) // max(1, len(vec)))
+    for at in range(0, len(query), block):
+        yield at, query[at:at + block] @ vec.T >= cosine
 
 
-def partners(graph: Graph, query: np.ndarray, cosine: float, seed: int = 3, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with at least ``cosine``: beams are widened until the audit passes; saturated beams go to brute force.
+def beam(graph: Graph, query: np.ndarray, cosine: float, seed: int = 3, own: bool = False) -> int:
+    """The beam that passes the audit; as many as the nodes if none less does.
 
-    ``own``: query i is node i, and that finding proves nothing about the beams, so the audit leaves it out.
+    ``own``: query i is node i, and that finding proves nothing about the
+    beams, so the audit leaves it out.  Besides sampled queries, whose partners
+    may be few, probes are searched: vectors at just the threshold from a
+    sampled node, in a random direction, the hardest that must be found.
     """
     rng = np.random.default_rng(seed)
     n = len(graph.vec)
     sample = np.sort(rng.choice(len(query), min(AUDIT, len(query)), replace=False))
-    true = [np.concatenate(x) for x in zip(*_brute(graph.vec, query[sample], cosine))]
-    wanted = set(zip(sample[true[0]].tolist(), true[1].tolist()))
+    wanted = {(int(sample[at + r]), int(c)) for at, hit in _hits(graph.vec, query[sample], cosine) for r, c in zip(*np.nonzero(hit))}
     if own:
         wanted = {(q, i) for q, i in wanted if q != i}
-    # Only audited queries with partners tell; the best few of the others' nodes are audited too, at their own cosine.
-    near = query[sample] @ graph.vec.T
-    if own:
-        near[np.arange(len(sample)), sample] = -np.inf
-    best = near.argmax(1)
+    target = rng.choice(n, min(AUDIT, n), replace=False)
+    node = graph.vec[target]
+    aside = rng.normal(size=node.shape).astype(np.float32)
+    aside -= (aside * node).sum(1, keepdims=True) * node
+    aside /= np.maximum(1e-20, np.sqrt((aside * aside).sum(1, keepdims=True)))
+    c = min(1.0, cosine + 1e-4)
+    probe = (c * node + np.sqrt(1 - c * c) * aside).astype(np.float32)
     ef = min(n, EF_SEARCH)
-    while True:
-        small_ids, small_sims = graph.find(query[sample], ef)
-        full = small_sims[:, -1] >= cosine
-        got = {(int(sample[r]), int(i)) for r in range(len(sample)) for i in small_ids[r][small_sims[r] >= cosine]}
+    while ef < n:
+        ids, sims = graph.find(query[sample], ef)
+        full = sims[:, -1] >= cosine
+        got = {(int(sample[r]), int(i)) for r in range(len(sample)) for i in ids[r][sims[r] >= cosine]}
         missed = sum(1 for q, i in wanted if (q, i) not in got and not full[np.searchsorted(sample, q)])
-        hit = (small_ids == best[:, None]).any(1).mean()
-        if ef >= n or missed <= (1 - RECALL) * len(wanted) and hit >= 0.9:
+        ids, sims = graph.find(probe, ef)
+        seen = (ids == target[:, None]).any(1) | (sims[:, -1] >= cosine)
+        if missed <= (1 - RECALL) * len(wanted) and seen.mean() >= RECALL:
             break
         ef = min(n, ef * 2)
-    if ef >= n // 2:  # as wide as the shard: brute force is the same and cheaper
-        return tuple(np.concatenate(x) for x in zip(*_brute(graph.vec, query, cosine)))
-    ids, sims = graph.find(query, ef)
-    full = sims[:, -1] >= cosine
-    q, c = np.nonzero((sims >= cosine) & ~full[:, None])
-    a, b = [q], [ids[q, c]]
-    left = np.flatnonzero(full)
-    for q, j in _brute(graph.vec, query[left], cosine):
-        a.append(left[q]), b.append(j)
-    return np.concatenate(a), np.concatenate(b).astype(np.int64)
+    return ef
+
+
+def link(graph: Graph, query: np.ndarray, cosine: float, own: bool = False, seed: int = 3) -> np.ndarray:
+    """Least-member labels of the nodes (numbered first) and the queries, joined wherever a cosine reaches the threshold; with ``own`` query i is node i."""
+    n = len(graph.vec)
+    first = 0 if own else n
+    label = np.arange(n if own else n + len(query))
+    ef = beam(graph, query, cosine, seed, own)
+    if ef < n:
+        ids, sims = graph.find(query, ef)
+        full = sims[:, -1] >= cosine
+        q, c = np.nonzero(sims >= cosine)
+        label = merge_labels(label, first + q, ids[q, c].astype(np.int64))
+        left = np.flatnonzero(full)
+        del ids, sims
+    else:
+        left = np.arange(len(query))
+    for at, hit in _hits(graph.vec, query[left], cosine):
+        rows = first + left[at:at + len(hit)]
+        hit &= label[rows][:, None] != label[:n]
+        if not hit.any():
+            continue
+        # One link to each group is enough: the first partner's group first, then whatever is still apart.
+        some = np.flatnonzero(hit.any(1))
+        label = merge_labels(label, rows[some], hit[some].argmax(1))
+        hit &= label[rows][:, None] != label[:n]
+        q, j = np.nonzero(hit)
+        label = merge_labels(label, rows[q], j)
+    return label
+
+
+def partners(graph: Graph, query: np.ndarray, cosine: float, seed: int = 3, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs with at least ``cosine``, every pair by itself: for audits and small inputs."""
+    ef = beam(graph, query, cosine, seed, own)
+    if ef >= len(graph.vec):
+        left, a, b = np.arange(len(query)), [], []
+    else:
+        ids, sims = graph.find(query, ef)
+        full = sims[:, -1] >= cosine
+        q, c = np.nonzero((sims >= cosine) & ~full[:, None])
+        left, a, b = np.flatnonzero(full), [q], [ids[q, c].astype(np.int64)]
+    for at, hit in _hits(graph.vec, query[left], cosine):
+        q, j = np.nonzero(hit)
+        a.append(left[q + at]), b.append(j)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def near_groups(spark: SparkSession, vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE,
-                shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """All members of all groups of near-equal vectors: ``vec_id``, ``keep_id``, ``copies``, ``kept``.
+                shard_rows: int | None = None) -> DataFrame:
+    """Every vector with its group of near-equal ones: ``vec_id``, ``keep_id``, ``copies``, ``kept``.
 
     Two vectors are linked if their cosine is at least ``cosine``; a group is
-    a connected component and keeps its smallest id.  The search is
-    approximate: the audits hold its recall, and what it reports is exact.
+    a connected component and keeps its smallest id; a vector without a near
+    copy is a group by itself (``copies`` 1).  The search is approximate: the
+    audits hold its recall, and what it reports is exact.
+
     Null or empty vectors, vectors of length 0 or with a null, NaN or infinite
     part, and rows without an id have no row.  Vectors of different dimension
     are never linked.  Rows that repeat an id count as one with all their
-    vectors; an empty table gives an empty result; further columns are ignored.
+    vectors.  Ids are integers of any width.  Ties cannot arise; an empty table
+    gives an empty result; further columns are ignored, whatever their names.
+
+    Work: equal vectors are combined within tasks and travel once.  A shard's
+    graph and its vectors travel once for each shard.
     """
     shelf = Shelf(spark)
 
@@ -277,27 +331,28 @@ def near_groups(spark: SparkSession, vectors: DataFrame, *, vec_id: str = "vec_i
                 top = np.abs(v).max()
                 if np.isfinite(top) and top > 0:
                     v = v / top
-                    ids.append(i), dims.append(len(v)), raws.append((v / np.sqrt(v @ v)).astype(np.float32).tobytes())
+                    ids.append(i), dims.append(len(v)), raws.append((v / np.sqrt(v @ v) + 0.0).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], names=["id", "dim", "raw"])
 
     rows = vectors.where(vectors[vec_id].isNotNull() & vectors[embedding].isNotNull()).select(
         vectors[vec_id].cast("bigint").alias("id"), vectors[embedding].alias("v"))
     units = shelf.put(rows.mapInArrow(unit, "id bigint, dim int, raw binary"))
-    shards = {r[0]: -(-r[1] // shard_rows) for r in units.groupBy("dim").count().collect()}
-    if not shards:
+    nodes = shelf.put(units.groupBy("dim", "raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    sizes = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}
+    if not sizes:
         return units.select(F.col("id").alias("vec_id"), F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("copies"), F.lit(True).alias("kept"))
-    of = F.coalesce(*[F.when(F.col("dim") == d, F.lit(s)) for d, s in shards.items()])
-    dealt = shelf.put(units.withColumn("of", of).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
+    rows_of = lambda n: shard_rows or min(LARGEST_SHARD, max(LEAST_SHARD, int((n * MEAN_ROWS) ** 0.5)))
+    of = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // rows_of(n)))) for d, n in sizes.items()])
+    dealt = shelf.put(nodes.withColumn("of", of).withColumn("shard", F.pmod(F.xxhash64("raw"), F.col("of")).cast("int")))
 
     def stack(table: pa.Table) -> np.ndarray:
         raw = table.column("raw").to_pylist()
         return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        vec = stack(table)
+        table = table.sort_by([("id", "ascending"), ("raw", "ascending")])
         return pa.table({"dim": table.column("dim")[:1], "of": table.column("of")[:1], "shard": table.column("shard")[:1],
-                         "graph": pa.array([Graph(vec).dump()], pa.binary()), "ids": pa.array([table.column("id").to_pylist()], pa.list_(pa.int64()))})
+                         "graph": pa.array([Graph(stack(table)).dump()], pa.binary()), "ids": pa.array([table.column("id").to_pylist()], pa.list_(pa.int64()))})
 
     graphs = shelf.put(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, of int, shard int, graph binary, ids array<bigint>"))
 
@@ -306,16 +361,10 @@ def near_groups(spark: SparkSession, vectors: DataFrame, *, vec_id: str = "vec_i
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         graph = Graph.load(left.column("graph")[0].as_py())
         ids = np.array(left.column("ids")[0].as_py(), np.int64)
-        right = right.sort_by("id")
-        other = right.column("id").to_numpy()
+        right = right.sort_by([("id", "ascending"), ("raw", "ascending")])
         same = key[1].as_py() == key[2].as_py()
-        q, j = partners(graph, stack(right), cosine, own=same)
-        if same:
-            keep = q != j
-            a, b, all_ids = q[keep], j[keep], ids
-        else:
-            a, b, all_ids = q + len(ids), j, np.concatenate([ids, other])
-        label = merge_labels(np.arange(len(all_ids)), a, b)
+        label = link(graph, stack(right), cosine, own=same)
+        all_ids = ids if same else np.concatenate([ids, right.column("id").to_numpy()])
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": all_ids[moved], "b": all_ids[label[moved]]})
 
@@ -323,7 +372,27 @@ def near_groups(spark: SparkSession, vectors: DataFrame, *, vec_id: str = "vec_i
     right = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), "shard"))).select("dim", F.col("with").alias("g"), F.col("shard").alias("q"), "id", "raw")
     pairs = left.select("dim", F.col("shard").alias("g"), F.col("with").alias("q"), "graph", "ids").groupBy("dim", "g", "q").cogroup(
         right.groupBy("dim", "g", "q")).applyInArrow(meet, "a bigint, b bigint")
-    parts = shelf.put(connected_components(spark, pairs, shelf))
+    # Equal vectors: only the ids of repeated ones meet their node's id.
+    again = nodes.where("n > 1").select("dim", "raw", F.col("id").alias("rep"))
+    alike = units.join(again.hint("shuffle_hash"), ["dim", "raw"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    parts = shelf.put(connected_components(spark, pairs.union(alike), shelf))
     size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("copies"))
-    return parts.join(size, "component").select(
-        F.col("node").alias("vec_id"), F.col("component").alias("keep_id"), "copies", (F.col("node") == F.col("component")).alias("kept"))
+    found = parts.join(size, "component")
+    return units.select("id").distinct().join(found, F.col("id") == F.col("node"), "left").select(
+        F.col("id").alias("vec_id"), F.coalesce("component", "id").alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def near_groups_sql() -> str:
+    """DuckDB SQL for :func:`near_groups` over ``embeddings`` with its default parameters: every pair of vectors, then least ids passed on to a fixed point."""
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)),
+u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0 AND NOT list_contains(list_transform(e, x -> isfinite(x)), false)),
+pair AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e)
+    >= {COSINE} * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))),
+reach AS (SELECT DISTINCT id AS a, id AS b FROM u UNION SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a),
+part AS (SELECT a AS vec_id, min(b) AS keep_id, count(*) AS copies FROM reach GROUP BY a)
+SELECT vec_id, keep_id, copies, vec_id = keep_id AS kept FROM part"""

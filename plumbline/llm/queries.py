@@ -64,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_ownership": secrets.scan_sql(),
+        "op6_embedding_groups": hnsw.near_groups_sql(),
         "op8_chat_format": chat.format_chats_sql(),
         "op10_exact_groups": radix.exact_groups_sql(),
     }

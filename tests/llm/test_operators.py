@@ -239,8 +239,8 @@ def test_vectors(spark):
     a, b = np.nonzero(np.triu(m @ m.T >= hnsw.COSINE, 1))
     want = components([(ids[x], ids[y]) for x, y in zip(a, b)] + [(7004, 7005)], {*ids, 7004, 7005})
     groups = {n: c for n, c in want.items() if sum(1 for x in want.values() if x == c) > 1}
-    right = sum(1 for n, c in groups.items() if n in got and got[n].keep_id == c)
-    assert right >= 0.98 * len(groups) and set(got) <= set(groups)
+    right = sum(1 for n, c in groups.items() if got[n].keep_id == c)
+    assert right >= 0.98 * len(groups) and set(got) == set(want) and all(got[n].copies == 1 and got[n].kept for n in want if n not in groups)
     assert got[300].copies == 121 and got[5000].keep_id == 300 and not got[5000].kept and got[300].kept
     assert hnsw.near_groups(spark, df.limit(0)).count() == 0
 
