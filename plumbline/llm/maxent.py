@@ -1,81 +1,167 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-Words are hashed to ``BUCKETS`` buckets, so no vocabulary is kept and a corpus
-of any size has a model of one size.  Buckets are put into ``CLASSES`` classes
-of near-equal corpus mass, and
-
-    P(word | history) = P(class | history) * P(word | class, class before).
-
-The class factor has hashed features of the history: the word before
-(bigram), the two words before (trigram), and the words two and three back
-alone (skips).  The word factor has the features word and (class before,
-word).  Both are softmax models fitted by gradient steps.
-
-Training covers every document once: in each round the tasks start from the
-common weights, take minibatch gradient steps over their share of the
-documents, and return the change of the rows they touched; the changes are
-averaged row by row in a shuffle.
+Words are hashed to buckets, and
+
+    P(word | history) = P(class | history) * P(word | class, history).
+
+Classes hold buckets that keep company in documents: the leading directions of
+the buckets' co-occurrence, found by a few rounds of averaging over documents
+and back, are clustered.  Each factor's softmax is taken by a tree of two-way
+ones: the upper nodes choose the class, those below a class part its words in
+order of frequency into halves of near-equal corpus mass.  A frequent word is
+a few decisions away, a rare one up to some forty, about ten on average; no
+decision needs a sum over the vocabulary, and the probabilities of all buckets
+sum to one.
+
+Every decision has hashed features: the word before (bigram), the two words
+before (trigram), and the words two and three back alone (skips), each joined
+with the decision's node and hashed to a slot of one table of weights, and a
+bias of its own.
+
+Training is synchronous: in each round all tasks add up, over all documents,
+what the slots saw (observed) and what the common weights foretold (expected);
+their difference is the gradient of the log likelihood.  The sums are
+combined in a shuffle and one step is taken: along the gradient, scaled in
+each slot by its own counts.  So neither the number of tasks nor the order of
+rows has a say in the result.
+
+The number of buckets and of slots follows the size of the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import docs_type
+from .shelf import Shelf
 from .textkit import Words, mix64, slices
 
-BUCKETS, CLASSES = 4096, 16
-ROW_BITS = 16  #: rows of the hashed feature table of the class factor
 ROUNDS = 2
-BLOCK = 1 << 14  #: words of a minibatch
-RATE = 0.5
+CLASSES, DIRECTIONS, TURNS = 16, 4, 2  #: classes, directions of co-occurrence they are found in, rounds of averaging
+COMMON, SEEDS = 2048, 256  #: most frequent buckets, from whose company the directions start, and from which the first centres are taken
+RATE, PRIOR = 0.4, 0.6  #: length of a step; counts that each slot has beforehand for either side
+BUCKET_SHARE, SLOT_SHARE, SLOT_POWER = 32, 16, 0.6  #: buckets for the square root of the corpus' bytes; slots for their power 0.6
+PIECE = 1 << 14  #: numbers that travel together
+TASK_BYTES = 64  #: a task reads this many bytes of text or more for each slot, so that what it sends is a small share of what it reads
 _OFFSETS = tuple(np.uint64(x) for x in (0x1B873593A5A5A5A5, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_UNIT = 1 << 12  #: directions are kept as whole numbers of this part
 
 
 @dataclass
 class Model:
-    """Weights; ``of`` maps buckets to classes."""
-
-    of: np.ndarray
-    rows: np.ndarray = field(default=None)  # (2 ** ROW_BITS + 1, CLASSES): the last row is the bias
-    words: np.ndarray = field(default=None)  # (CLASSES + 1, BUCKETS): by class before, last the bias
+    """``rank``: place of each bucket by falling frequency.  Node k of the tree parts the ranks below ``split[k]`` from those at or above it;
+    ``low[k]`` and ``high[k]`` are the nodes that follow, -1 where one rank is left.  ``bias`` is a node's own log odds, ``slots`` the common table."""
 
-    def __post_init__(self):
-        if self.rows is None:
-            self.rows = np.zeros(((1 << ROW_BITS) + 1, CLASSES), np.float32)
-            self.words = np.zeros((CLASSES + 1, BUCKETS), np.float32)
+    rank: np.ndarray
+    split: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    bias: np.ndarray
+    slots: np.ndarray
 
-    def word_factor(self) -> np.ndarray:
-        """(CLASSES before, BUCKETS): log P(word | its class, class before)."""
-        logit = (self.words[:-1] + self.words[-1]).astype(np.float64)
-        top = np.full((CLASSES, CLASSES), -np.inf)
-        np.maximum.at(top, (slice(None), self.of), logit)
-        total = np.zeros((CLASSES, CLASSES))
-        np.add.at(total, (slice(None), self.of), np.exp(logit - top[:, self.of]))
-        with np.errstate(divide="ignore"):
-            norm = top + np.log(total)
-        return (logit - norm[:, self.of]).astype(np.float32)
+    def state(self) -> dict[str, np.ndarray]:
+        """Plain arrays, which travel without this module."""
+        return dict(self.__dict__)
 
 
-def assign_classes(counts: np.ndarray) -> np.ndarray:
-    """Classes of near-equal mass: buckets by falling count fill one class after the other.
-
-    Every bucket has one added to its count; ties go by bucket number.
-    """
+def grow_tree(counts: np.ndarray, of: np.ndarray | None = None) -> Model:
+    """The tree over buckets of the given counts (one is added to each) and classes, with biases from the counts and ``slots`` still empty."""
     counts = counts.astype(np.float64) + 1
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    mass = np.cumsum(np.sqrt(counts[order]))  # square roots keep frequent words from filling classes alone
-    of = np.empty(len(counts), np.int64)
-    of[order] = np.minimum(CLASSES - 1, (mass - np.sqrt(counts[order]) / 2) * CLASSES / mass[-1]).astype(np.int64)
-    return of
+    of = np.zeros(len(counts), np.int64) if of is None else of
+    order = np.lexsort((np.arange(len(counts)), -counts, of))
+    rank = np.empty(len(counts), np.int32)
+    rank[order] = np.arange(len(counts), dtype=np.int32)
+    mass = np.r_[0.0, np.cumsum(counts[order])]
+    edges = np.flatnonzero(np.diff(of[order])) + 1  # where the classes end
+    n = max(1, len(counts) - 1)
+    split, low, high, bias = np.zeros(n, np.int32), np.full(n, -1, np.int32), np.full(n, -1, np.int32), np.zeros(n, np.float32)
+    if len(counts) < 2:
+        return Model(rank, split, low, high, bias, np.zeros(0, np.float32))
+    a, b, first, made = np.array([0]), np.array([len(counts)]), 0, 1  # the intervals of one level; their nodes are numbered in turn
+    while len(a):
+        half = (mass[a] + mass[b]) / 2
+        middle = np.searchsorted(mass, half)
+        middle -= (mass[middle] - half) > (half - mass[np.maximum(middle - 1, 0)])  # the nearer place
+        middle = np.clip(middle, a + 1, b - 1)
+        if len(edges):  # an interval of several classes is parted between two of them
+            away = np.where((edges > a[:, None]) & (edges < b[:, None]), np.abs(mass[edges] - half[:, None]), np.inf)
+            best = away.argmin(1)
+            inside = np.isfinite(away[np.arange(len(a)), best])
+            middle = np.where(inside, edges[best], middle)
+            if not inside.any():
+                edges = edges[:0]
+        me = first + np.arange(len(a))
+        split[me] = middle
+        bias[me] = np.log((mass[b] - mass[middle]) / (mass[middle] - mass[a]))
+        keep = np.stack([middle - a > 1, b - middle > 1], 1)
+        number = made + np.cumsum(keep.ravel()).reshape(-1, 2) - 1
+        low[me], high[me] = np.where(keep[:, 0], number[:, 0], -1), np.where(keep[:, 1], number[:, 1], -1)
+        a, b = np.stack([a, middle], 1).ravel()[keep.ravel()], np.stack([middle, b], 1).ravel()[keep.ravel()]
+        first, made = made, made + int(keep.sum())
+    return Model(rank, split, low, high, bias, np.zeros(0, np.float32))
+
+
+def start_directions(counts: np.ndarray) -> np.ndarray:
+    """(buckets, DIRECTIONS) integers: random signs for the most frequent buckets, 0 for all others."""
+    out = np.zeros((len(counts), DIRECTIONS), np.int32)
+    top = np.lexsort((np.arange(len(counts)), -counts))[:COMMON]
+    out[top] = np.where(np.random.default_rng(5).random((len(top), DIRECTIONS)) < 0.5, -_UNIT, _UNIT) * (counts[top] > 0)[:, None]
+    return out
 
 
-def encode(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word and the (words, 4) rows of its history features; before a text's begin stands nothing (hash 0)."""
+def company(table: np.ndarray, words: Words, total: np.ndarray) -> None:
+    """Add to ``total`` (DIRECTIONS, buckets), for each word of some texts, the mean of its text's words; whole numbers, so the order of sums has no say."""
+    bucket = _buckets(words, len(table))
+    if not len(bucket):
+        return
+    has = np.flatnonzero(words.count)
+    first = (np.cumsum(words.count) - words.count)[has]
+    mean = np.add.reduceat(table[bucket].astype(np.int64), first, axis=0) // words.count[has][:, None]
+    mean = np.repeat(mean, words.count[has], axis=0)
+    for d in range(DIRECTIONS):
+        np.add.at(total[d], bucket, mean[:, d])
+
+
+def next_directions(total: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The directions after a round of averaging: centred, made independent and of one length, all weighed by frequency."""
+    mean = total.T / np.maximum(1, counts)[:, None]
+    weight = counts / max(1, counts.sum())
+    mean = (mean - weight @ mean) * (counts > 0)[:, None]
+    value, axis = np.linalg.eigh((mean * weight[:, None]).T @ mean)
+    out = mean @ (axis / np.sqrt(np.maximum(value, 1e-9)))
+    return np.clip(np.rint(out * _UNIT), -64 * _UNIT, 64 * _UNIT).astype(np.int32)
+
+
+def cluster(points: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Classes of buckets by weighted k-means, started from points far apart; buckets that never occur are in class 0."""
+    x = points.astype(np.float64) / _UNIT
+    centres = x[[int(counts.argmax())]]
+    often = np.lexsort((np.arange(len(counts)), -counts))[:SEEDS]
+    for _ in range(CLASSES - 1):
+        far = ((x[often, None] - centres) ** 2).sum(2).min(1)
+        if far.max() <= 0:
+            break
+        centres = np.concatenate([centres, x[often[[int(far.argmax())]]]])
+    for _ in range(8):
+        of = ((centres ** 2).sum(1) - 2 * x @ centres.T).argmin(1)
+        mass = np.bincount(of, counts, len(centres))
+        moved = np.stack([np.bincount(of, counts * x[:, d], len(centres)) for d in range(x.shape[1])], 1)
+        centres = np.where(mass[:, None] > 0, moved / np.maximum(mass, 1e-9)[:, None], centres)
+    return np.where(counts > 0, of, 0)
+
+
+def _buckets(words: Words, buckets: int) -> np.ndarray:
+    return (((words.hash >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def encode(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each word and the (4, words) hashes of its history features; before a text's begin stands nothing (hash 0)."""
     h = words.hash
     n = len(h)
     base = np.cumsum(words.count) - words.count
@@ -87,138 +173,164 @@ def encode(words: Words) -> tuple[np.ndarray, np.ndarray]:
         b[place < k] = 0
         back.append(b)
     p1, p2, p3 = back
-    mixed = (p1 + _OFFSETS[0], (p1 ^ (p2 * np.uint64(0x9E3779B97F4A7C15))) + _OFFSETS[1], p2 + _OFFSETS[2], p3 + _OFFSETS[3])
-    rows = np.empty((n, 4), np.int32)
-    for j, x in enumerate(mixed):
-        rows[:, j] = mix64(x) >> np.uint64(64 - ROW_BITS)
-    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32), rows
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    mixed = (p1 + _OFFSETS[0], (p1 ^ (p2 * _STEP)) + _OFFSETS[1], p2 + _OFFSETS[2], p3 + _OFFSETS[3])
+    return _buckets(words, buckets), np.stack([mix64(x) for x in mixed]) if n else np.zeros((4, 0), np.uint64)
+
+
+def decisions(model: Model, bucket: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level down the tree: (words still under way, their node, their side, the (4, words) slots)."""
+    rank = model.rank[bucket]
+    at = np.arange(len(rank)) if len(model.rank) > 1 else np.zeros(0, np.int64)
+    node = np.zeros(len(at), np.int64)
+    size = np.uint64(max(1, len(model.slots)))
+    while len(at):
+        up = rank[at] >= model.split[node]
+        key = (node.astype(np.uint64) + np.uint64(1)) * _STEP
+        x = (hashes[:, at] ^ key) * np.uint64(0xD6E8FEB86659FD93)
+        slot = (((x >> np.uint64(32)) * size) >> np.uint64(32)).astype(np.int64)
+        yield at, node, up, slot
+        node = np.where(up, model.high[node], model.low[node]).astype(np.int64)
+        go = node >= 0
+        at, node = at[go], node[go]
+
+
+def _chance(model: Model, node: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Log odds of the upper side."""
+    x = model.bias[node] + model.slots[slot[0]]
+    for j in (1, 2, 3):
+        x += model.slots[slot[j]]
     return x
 
 
-def _class_before(model: Model, bucket: np.ndarray, words: Words) -> np.ndarray:
-    c = model.of[bucket]
-    before = np.r_[0, c[:-1]] if len(c) else c
-    first = np.cumsum(words.count) - words.count
-    before[first[words.count > 0]] = 0
-    return before
-
-
-def learn(model: Model, words: Words, seen: np.ndarray) -> None:
-    """Gradient steps over the words of some texts, in minibatches.  ``seen``: minibatch visits of each row, for the step size."""
-    bucket, rows = encode(words)
-    c, before = model.of[bucket], _class_before(model, bucket, words)
-    bias = len(model.rows) - 1
-    for at in range(0, len(bucket), BLOCK):
-        r, y = rows[at:at + BLOCK], c[at:at + BLOCK]
-        x = model.rows[r[:, 0]] + model.rows[bias]
-        for j in (1, 2, 3):
-            x += model.rows[r[:, j]]
-        g = _softmax(x)
-        g[np.arange(len(y)), y] -= 1
-        for j in range(4):
-            order = np.argsort(r[:, j].astype(np.uint16), kind="stable")
-            k = r[order, j]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            k, n = k[first], np.diff(np.r_[first, len(order)])
-            seen[k] += n
-            # The mean gradient of the row's words; the step falls with what the row has seen.
-            step = RATE * n / (2 + seen[k])
-            model.rows[k] -= (np.add.reduceat(g[order], first, axis=0) / n[:, None]) * (4 * step)[:, None]
-        seen[bias] += len(y)
-        model.rows[bias] -= g.mean(0) * (RATE * min(1.0, 8 * len(y) / seen[bias]))
-        # Word factor: observed less expected counts, by class before.
-        b, p = bucket[at:at + BLOCK], before[at:at + BLOCK]
-        got = np.bincount(p * BUCKETS + b, minlength=CLASSES * BUCKETS).reshape(CLASSES, BUCKETS)
-        pairs = np.bincount(p * CLASSES + y, minlength=CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-        d = (got - pairs[:, model.of] * np.exp(model.word_factor())).astype(np.float32)
-        model.words[:-1] += d / (8 + pairs[:, model.of])
-        model.words[-1] += d.sum(0) / (8 + pairs.sum(0)[model.of])
-
-
-def train(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> Model:
-    """Fit the model on all documents, each used in exactly one of ``rounds`` rounds (by a hash of its id).
-
-    A round reads its documents where they lie, and what crosses the network
-    is each task's changed rows (at most 2 ** ROW_BITS rows a task), combined
-    by a shuffle before the driver takes the averages.
+def gather(model: Model, words: Words, sums: dict[str, np.ndarray]) -> None:
+    """Add what the slots see in some texts: ``expected`` and, where asked for, ``seen`` decisions and ``upper`` sides taken."""
+    bucket, hashes = encode(words, len(model.rank))
+    size = len(model.slots)
+    todo = {k: [] for k in sums}
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        if held:
+            slot = np.concatenate(todo["slot"])
+            for k, total in sums.items():
+                weight = None if k == "seen" else np.concatenate(todo[k])
+                if held * 4 > size:
+                    total += np.bincount(slot, weight, minlength=size)
+                else:
+                    np.add.at(total, slot, 1.0 if weight is None else weight)
+            for v in todo.values():
+                v.clear()
+            held = 0
+
+    todo["slot"] = []
+    for _, node, up, slot in decisions(model, bucket, hashes):
+        p = 1 / (1 + np.exp(-_chance(model, node, slot)))
+        todo["slot"].append(slot.ravel())
+        todo["expected"].append(np.tile(p.astype(np.float32), 4))
+        if "upper" in sums:
+            todo["upper"].append(np.tile(up.astype(np.float32), 4))
+        held += slot.size
+        if held > 1 << 21:
+            flush()
+    flush()
+
+
+def _step(slots: np.ndarray, seen: np.ndarray, upper: np.ndarray, expected: np.ndarray) -> None:
+    """One step of all slots along observed less expected counts, on the log scale of either side."""
+    lower, unexpected = seen - upper, np.maximum(0, seen - expected)
+    slots += RATE * (np.log((upper + PRIOR) / (np.maximum(0, expected) + PRIOR)) - np.log((lower + PRIOR) / (unexpected + PRIOR))).astype(np.float32)
+
+
+def sizes(n_bytes: int) -> tuple[int, int]:
+    """(buckets, slots) for a corpus of so many bytes."""
+    return max(256, round(BUCKET_SHARE * n_bytes ** 0.5)), max(4096, round(SLOT_SHARE * n_bytes ** SLOT_POWER))
+
+
+def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS, shape: tuple[int, int] | None = None, tasks: int | None = None) -> Model:
+    """Fit the model on all words of all documents, each document in every round.
+
+    Null, empty and wordless texts add nothing; repeated rows count as often as
+    they occur; a very long text is one text; without any word every bucket is
+    about as likely as another.  ``shape`` (buckets, slots) replaces what follows from the
+    corpus' size, and ``tasks`` the number of tasks.  Columns other than the text are ignored.
+
+    Work: one pass counts the buckets, ``TURNS`` find their company, then
+    ``rounds`` passes fit; all read the texts where they lie.  What a task sends grows with the table, so tasks read
+    TASK_BYTES a slot or more; it is combined by piece in the shuffle.  The
+    driver holds the table (8 bytes a slot and sum) and broadcasts 4 bytes a
+    slot and 20 a bucket; both follow the corpus' size by powers below one.
     """
-    rows = docs.where(docs[text].isNotNull()).select(docs[text].alias("text"), F.pmod(F.xxhash64(docs[doc_id]), F.lit(rounds)).alias("turn"))
+    shelf = Shelf(spark)
+    rows = docs.where(docs[text].isNotNull()).select(docs[text].alias("text"))
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets, size = shape or sizes(n_bytes)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for part in slices(batch, 0):
-                total += np.bincount((Words(part.column(0)).hash >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    got = rows.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    model = Model(assign_classes(counts))
-    columns = [f"w{i}" for i in range(CLASSES)]
-    split = BUCKETS // CLASSES
-    seen_all = np.zeros(len(model.rows), np.float64)
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((model, seen_all))
+    tasks = tasks or max(spark.sparkContext.defaultParallelism, n_bytes // (TASK_BYTES * size))
+
+    def total(make: Callable[[], dict[str, np.ndarray]], add: Callable[[Words, dict[str, np.ndarray]], None]) -> dict[str, np.ndarray]:
+        """Sums over all texts: ``make`` gives a task's zeros, ``add`` adds some texts to them."""
+        kinds = {k: v.dtype for k, v in make().items()}
+        sent = {k: np.dtype(np.float32) if t == np.float64 else t for k, t in kinds.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start, before = shared.value
-            own = Model(start.of, start.rows.copy(), start.words.copy())
-            seen = before.copy()
-            any_ = False
+            sums = make()
             for batch in batches:
-                for part in slices(batch, 0, 1 << 20):
+                for part in slices(batch, 0):
                     words = Words(part.column(0))
                     if len(words.hash):
-                        any_ = True
-                        learn(own, words, seen)
-            if not any_:
-                return
-            gone = seen - before
-            k = np.flatnonzero(gone)
-            delta = own.rows[k] - start.rows[k]
-            # Rows of the word factor follow, cut to the same width; they weigh by task.
-            w = (own.words - start.words).reshape(-1, CLASSES)
-            key = np.concatenate([k, len(seen) + np.arange(len(w))])
-            weight = np.concatenate([gone[k], np.ones(len(w))])
-            values = np.concatenate([delta, w])
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(weight), *(pa.array(values[:, i].astype(np.float32)) for i in range(CLASSES))],
-                                             names=["k", "n", *columns])
-
-        changes = rows.where(F.col("turn") == turn).select("text").mapInArrow(run, "k int, n double, " + ", ".join(f"{c} float" for c in columns))
-        merged = changes.groupBy("k").agg(F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in columns]).toArrow()
-        k = merged.column("k").to_numpy()
-        values = np.stack([merged.column(c).to_numpy() for c in columns], 1) if len(k) else np.zeros((0, CLASSES), np.float32)
-        low = k < len(model.rows)
-        model = Model(model.of, model.rows.copy(), model.words.copy())
-        model.rows[k[low]] += values[low]
-        seen_all = seen_all.copy()
-        seen_all[k[low]] += merged.column("n").to_numpy()[low] if low.any() else 0
-        model.words.reshape(-1, CLASSES)[k[~low] - len(model.rows)] += values[~low]
+                        add(words, sums)
+            for k, v in sums.items():
+                for at in range(0, len(v), PIECE):
+                    if v[at:at + PIECE].any():
+                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at]), pa.array([v[at:at + PIECE].astype(sent[k]).tobytes()], pa.binary())], names=["kind", "at", "raw"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            k = table.column("kind")[0].as_py()
+            got = sum(np.frombuffer(x.as_buffer(), sent[k]).astype(kinds[k]) for x in table.column("raw"))
+            return pa.table({"kind": table.column("kind")[:1], "at": table.column("at")[:1], "raw": pa.array([got.tobytes()], pa.binary())})
+
+        fields = "kind string, at bigint, raw binary"
+        merged = shelf.put(rows.coalesce(tasks).mapInArrow(run, fields).groupBy("kind", "at").applyInArrow(merge, fields))
+        out = make()
+        for batch in merged.toArrow().to_batches():
+            for k, at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                x = np.frombuffer(raw.as_buffer(), kinds[k])
+                out[k][at:at + len(x)] = x
+        shelf.drop(merged)
+        return out
+
+    def count(words: Words, sums: dict[str, np.ndarray]) -> None:
+        np.add.at(sums["counts"], _buckets(words, buckets), 1)
+
+    counts = total(lambda: {"counts": np.zeros(buckets, np.int64)}, count)["counts"]
+    points = start_directions(counts)
+    for _ in range(TURNS):
+        shared = spark.sparkContext.broadcast(points)
+        zeros = lambda: {f"d{d}": np.zeros(buckets, np.int64) for d in range(DIRECTIONS)}
+        found = total(zeros, lambda words, sums: company(shared.value, words, [sums[f"d{d}"] for d in range(DIRECTIONS)]))
+        points = next_directions(np.stack([found[f"d{d}"] for d in range(DIRECTIONS)]), counts)
+        shared.unpersist()
+    model = grow_tree(counts, cluster(points, counts))
+    model.slots = np.zeros(size, np.float32)
+    known: dict[str, np.ndarray] = {}
+    for _ in range(rounds):
+        wanted = [k for k in ("expected", "seen", "upper") if k not in known]
+        shared = spark.sparkContext.broadcast(model.state())
+        known |= total(lambda: {k: np.zeros(size) for k in wanted}, lambda words, sums: gather(Model(**shared.value), words, sums))
+        model.slots = model.slots.copy()
+        _step(model.slots, known["seen"], known["upper"], known.pop("expected"))
         shared.unpersist()
-    assert split * CLASSES == BUCKETS
     return model
 
 
-def log_probs(model: Model, factor: np.ndarray, words: Words, block: int = 1 << 15) -> np.ndarray:
-    """Log probability (base e) of every word, in sparse batches: four rows of the table are gathered a word."""
-    bucket, rows = encode(words)
-    c, before = model.of[bucket], _class_before(model, bucket, words)
-    out = factor[before, bucket].astype(np.float64)
-    for at in range(0, len(bucket), block):
-        r, y = rows[at:at + block], c[at:at + block]
-        x = model.rows[r[:, 0]] + model.rows[-1]
-        for j in (1, 2, 3):
-            x += model.rows[r[:, j]]
-        x -= x.max(1, keepdims=True)
-        out[at:at + block] += x[np.arange(len(y)), y] - np.log(np.exp(x).sum(1))
+def log_probs(model: Model, words: Words) -> np.ndarray:
+    """Log probability (base e) of every word, in sparse batches: four slots of the table are gathered a decision."""
+    bucket, hashes = encode(words, len(model.rank))
+    out = np.zeros(len(bucket))
+    for at, node, up, slot in decisions(model, bucket, hashes):
+        x = _chance(model, node, slot)
+        out[at] -= np.log1p(np.exp(-np.abs(x))) + np.maximum(0, np.where(up, -x, x))
     return out
 
 
@@ -226,23 +338,22 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, *, doc_id: str = "
     """``doc_id``, ``n_words``, ``log_prob`` (base e, summed over the words) and ``perplexity`` of every document.
 
     Null and empty texts, and texts without a word, have no words, a
-    ``log_prob`` of 0 and a null perplexity.  Rows, repeated or with a null id, pass
-    one by one; further columns are ignored; an empty table gives an empty
-    result.  A narrow map; the model has one size (about 4.5 MB) whatever the corpus.
+    ``log_prob`` of 0 and a null perplexity; very long texts are scored whole.
+    Rows, repeated or with a null id, pass one by one; ids of any type pass
+    through; further columns are ignored, whatever their names; an empty table
+    gives an empty result.  A narrow map: the model is broadcast as arrays.
     """
-    from .bpe import docs_type
-
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.state())
     schema = pa.schema([("doc_id", docs_type(docs, doc_id)), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor = shared.value.word_factor()
+        own = Model(**shared.value)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
+            for part in slices(batch, 1):
                 words = Words(part.column(1))
-                lp = np.bincount(words.doc, log_probs(shared.value, factor, words), minlength=words.rows)
+                lp = np.bincount(words.doc, log_probs(own, words), minlength=words.rows)
                 n = words.count.astype(np.int64)
-                with np.errstate(divide="ignore", invalid="ignore"):
+                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
                     ppl = np.exp(-lp / n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(lp), pa.array(ppl, mask=n == 0)], schema=schema)
 

@@ -199,26 +199,71 @@ def test_lm(spark):
     model = maxent.train(spark, docs)
     got = {r.doc_id: r for r in maxent.score(spark, docs, model).collect()}
     assert len(got) == docs.count()
-    lp, n = sum(r.log_prob for r in got.values()), sum(r.n_words for r in got.values())
-    assert -lp / n < math.log(maxent.BUCKETS) - 0.4  # well below a uniform guess
-    # Every distribution sums to one: over all words for some histories.
-    factor = model.word_factor()
+    # Every distribution sums to one: over all buckets for some histories; brute force walks the tree word by word.
     words = Words(pa.array(["the cat sat on the mat", "a"]))
-    bucket, rows = maxent.encode(words)
-    x = model.rows[rows].sum(1) + model.rows[-1]
-    p = np.exp(x) / np.exp(x).sum(1, keepdims=True)
-    before = maxent._class_before(model, bucket, words)
-    total = (p[:, model.of] * np.exp(factor[before])).sum(1)
-    assert total == pytest.approx(np.ones(len(total)), abs=1e-4)
-    brute = [math.log(p[i, model.of[bucket[i]]]) + float(factor[before[i], bucket[i]]) for i in range(len(bucket))]
-    assert maxent.log_probs(model, factor, words, block=2) == pytest.approx(brute, abs=1e-4)
+    bucket, hashes = maxent.encode(words, len(model.rank))
+    every = np.arange(len(model.rank))
+    for i in (0, 4, 6):
+        p = np.zeros(len(every))
+        for at, node, up, slot in maxent.decisions(model, every, np.repeat(hashes[:, i:i + 1], len(every), axis=1)):
+            x = maxent._chance(model, node, slot).astype(float)
+            p[at] += np.where(up, -np.log1p(np.exp(-x)), -np.log1p(np.exp(x)))
+        assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+        assert maxent.log_probs(model, words)[i] == pytest.approx(p[bucket[i]], abs=1e-4)
+
+    def brute(rank, row):
+        node, out = 0, 0.0
+        while node >= 0:
+            up = rank >= model.split[node]
+            key = (node + 1) * int(maxent._STEP) % 2**64
+            slots = [(((int(h) ^ key) * 0xD6E8FEB86659FD93 % 2**64 >> 32) * len(model.slots)) >> 32 for h in row]
+            x = float(model.bias[node]) + sum(float(model.slots[s]) for s in slots)
+            out -= math.log1p(math.exp(-x if up else x))
+            node = int((model.high if up else model.low)[node])
+        return out
+
+    assert maxent.log_probs(model, words) == pytest.approx([brute(model.rank[bucket[i]], hashes[:, i]) for i in range(len(bucket))], abs=1e-4)
     odd = maxent.score(spark, clashing(frame(spark, ODD)), model).collect()
     assert len(odd) == len(ODD) and all((r.perplexity is None) == (r.n_words == 0) for r in odd)
     empty = maxent.train(spark, frame(spark, []))
     assert maxent.score(spark, frame(spark, [(1, "a b", "en", "a")]), empty).first().perplexity > 100
-    # Every word counts: the counts behind the classes cover the corpus.
-    again = maxent.train(spark, docs.limit(50))
-    assert not np.array_equal(again.rows, model.rows)
+    assert maxent.score(spark, docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), empty).schema["doc_id"].dataType.simpleString() == "string"
+    odd_model = maxent.train(spark, clashing(frame(spark, ODD)))
+    assert odd_model.slots.any()
+
+
+def test_lm_gradient():
+    """Observed less expected counts are the gradient of the log likelihood."""
+    rng = np.random.default_rng(6)
+    words = Words(pa.array([" ".join(rng.choice(list("abcdefg"), 60)) for _ in range(20)]))
+    model = maxent.grow_tree(np.bincount(maxent._buckets(words, 64), minlength=64))
+    model.slots = rng.normal(0, 0.3, 40).astype(np.float32)
+    sums = {k: np.zeros(40) for k in ("expected", "seen", "upper")}
+    maxent.gather(model, words, sums)
+    for k in range(0, 40, 7):
+        both = []
+        for h in (0.01, -0.01):
+            model.slots[k] += h
+            both.append(maxent.log_probs(model, words).sum())
+            model.slots[k] -= h
+        assert (both[0] - both[1]) / 0.02 == pytest.approx(sums["upper"][k] - sums["expected"][k], rel=0.02, abs=0.1)
+
+
+def test_lm_held_out(spark):
+    """Far below a unigram on unseen documents, whatever the number of tasks."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    part = F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(5))  # copies share their beginning and fall on one side
+    fit, rest = docs.where(part < 2), docs.where(part == 4)
+    models = [maxent.train(spark, fit.repartition(n), tasks=n) for n in (4, 64)]
+    scores = [{r.doc_id: r for r in maxent.score(spark, rest, m).collect()} for m in models]
+    assert all(abs(scores[1][i].log_prob - r.log_prob) <= 1e-3 * max(1, abs(r.log_prob)) for i, r in scores[0].items())
+    buckets = len(models[0].rank)
+    count = lambda df: sum(np.bincount(maxent._buckets(Words(b.column(0)), buckets), minlength=buckets) for b in df.select("text").toArrow().to_batches(500))
+    seen, wanted = count(fit) + 1, count(rest)
+    unigram = -(wanted * np.log(seen / seen.sum())).sum() / wanted.sum()
+    for s in scores:
+        ours = -sum(r.log_prob for r in s.values()) / sum(r.n_words for r in s.values())
+        assert math.exp(ours) <= 0.7 * math.exp(unigram)
 
 
 # 6: vectors
