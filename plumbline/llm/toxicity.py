@@ -21,8 +21,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, DIM = 8, 8
 NGRAMS = (4, 5)
 PREFIXES = (5, 6, 7, 8)  #: lengths of the n-grams that stand at a word's begin, told apart from those inside
-#: Bounds of the labelled sample the model is fitted on (rows of each class; characters of one text).
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 1024, 20_000
+SAMPLE_PER_CLASS = 3072  #: bound of the labelled sample the model is fitted on, in rows of each class; the texts are whole
 MAX_WORDS, MAX_NGRAMS = 8192, 16384  #: features kept, by how far their class shares differ
 _AT_BEGIN = np.uint64(0x5851F42D4C957F2D)
 
@@ -68,6 +67,38 @@ def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, size, row
 
 
+class Features:
+    """What fitting needs of a column of texts, gathered slice by slice, so that memory follows the words and not the bytes.
+
+    ``word``: each word's place among the distinct ones; ``count``: words of
+    each row; ``hash``: the distinct words; ``pieces``: their n-grams as in
+    :class:`Vocabulary`.
+    """
+
+    def __init__(self, texts: pa.Array):
+        places, counts, self.hash = [], [], np.zeros(0, np.uint64)
+        pieces: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
+            words = Words(part.column(0))
+            vocab = Vocabulary(words)
+            at = _lookup(np.sort(self.hash), vocab.hash)
+            new = np.flatnonzero(at == 0)
+            place = np.full(len(vocab.hash), -1, np.int64)
+            place[new] = len(self.hash) + np.arange(len(new))
+            if len(self.hash):
+                old = np.flatnonzero(at)
+                place[old] = np.argsort(self.hash, kind="stable")[at[old] - 1]
+            fresh = np.zeros(len(vocab.hash), bool)
+            fresh[new] = True
+            pieces.append([(place[owner[fresh[owner]]].astype(np.int32), gram[fresh[owner]]) for owner, gram in vocab.pieces])
+            self.hash = np.concatenate([self.hash, vocab.hash[new]])
+            places.append(place[vocab.inverse].astype(np.int32)), counts.append(words.count)
+        self.word = np.concatenate([*places, np.zeros(0, np.int32)])
+        self.count = np.concatenate([*counts, np.zeros(0, np.int64)])
+        self.doc = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+        self.pieces = [tuple(np.concatenate(x) for x in zip(*kind)) for kind in zip(*pieces)]
+
+
 class Model:
     """The network's parameters, with forward and backward passes."""
 
@@ -88,7 +119,19 @@ class Model:
             self.p["b"][at] = -2
             self.p["v"][d * HIDDEN] = self.p["o"][d * HIDDEN] = 2
 
-    def known(self, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def state(self) -> dict:
+        """Plain arrays, which travel without this module."""
+        return {"words": self.words, "grams": self.grams, "threshold": self.threshold, "p": self.p}
+
+    @classmethod
+    def of(cls, state: dict | None) -> Model | None:
+        if state is None:
+            return None
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
+    def known(self, vocab: Vocabulary | Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word ids, and the known n-grams as (owner, id) sorted by owner."""
         owners, grams = [], []
         for owner, gram in vocab.pieces:
@@ -240,35 +283,36 @@ def train(texts: pa.Array, label: np.ndarray, *, epochs: int | None = None, batc
     batch = batch or int(min(256, max(16, len(label) // 8)))  # few labels: smaller steps, more of them
     epochs = epochs or int(min(16, max(5, 3000 // len(label))))
     rng = np.random.default_rng(seed)
-    words = Words(texts)
+    found = Features(texts)
     held = rng.random(len(label)) < (0.2 if len(label) >= 50 else 0)
-    vocab = Vocabulary(words)
-    fit = ~held[words.doc]
     least = 3 if len(label) < 2000 else 5
-    wk, wo, _ = _odds(words.hash[fit], words.doc[fit], label, MAX_WORDS, least)
-    seen = np.unique(vocab.inverse[fit] * np.int64(words.rows) + words.doc[fit])  # (distinct word, row), to hand n-grams their rows
-    seen, seen_row = np.divmod(seen, np.int64(max(1, words.rows)))
-    at = np.searchsorted(seen, np.arange(len(vocab.hash) + 1))
-    found = []
-    for owner, gram in vocab.pieces:
+    seen = np.unique(found.word[~held[found.doc]] * np.int64(len(label)) + found.doc[~held[found.doc]])  # (distinct word, row), to hand n-grams their rows
+    seen, seen_row = np.divmod(seen, np.int64(len(label)))
+    wk, wo, _ = _odds(found.hash[seen], seen_row, label, MAX_WORDS, least)
+    at = np.searchsorted(seen, np.arange(len(found.hash) + 1))
+    best = []
+    for owner, gram in found.pieces:
         n = np.diff(at)[owner]
         take = np.repeat(at[:-1][owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found.append(_odds(np.repeat(gram, n), seen_row[take], label, MAX_NGRAMS, least))
-    gk, go, gz = (np.concatenate(x) for x in zip(*found))
+        best.append(_odds(np.repeat(gram, n), seen_row[take], label, MAX_NGRAMS, least))
+    gk, go, gz = (np.concatenate(x) for x in zip(*best))
     top = np.argsort(-gz, kind="stable")[:MAX_NGRAMS]
     top = top[np.argsort(gk[top])]
     gk, go = gk[top], go[top]
-    del seen, seen_row, at, found, gz
+    del seen, seen_row, at, best, gz
     model = Model(wk, gk, wo, go, seed)
-    wid, owner, gram = model.known(vocab)
-    vocab.pieces = words.prefix = words.hash = None  # the driver's memory is small, and these are large
+    wid, owner, gram = model.known(found)
+    found.pieces = None
+    inverse = found.word
     bounds = np.searchsorted(owner, np.arange(len(wid) + 1))
-    start, size, row = windows(words.count)
+    start, size, row = windows(found.count)
     x = model.inputs(wid, owner, gram)
-    heat = (x[:, 0] + x[:, DIM])[vocab.inverse]
-    prob = np.array([0.0] * len(start))
-    place = np.minimum(start[:, None] + np.arange(WINDOW), len(heat) - 1)
-    prob = np.where(np.arange(WINDOW) < size[:, None], heat[place], -9).max(1)
+    heat = (x[:, 0] + x[:, DIM])[inverse]
+    prob = np.zeros(len(start), np.float32)
+    for at in range(0, len(start), 1 << 15):
+        place = np.minimum(start[at:at + (1 << 15), None] + np.arange(WINDOW), len(heat) - 1)
+        prob[at:at + (1 << 15)] = np.where(np.arange(WINDOW) < size[at:at + (1 << 15), None], heat[place], -9).max(1)
+    del heat
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
     use = ~held[row] & (size > 0)
@@ -285,7 +329,7 @@ def train(texts: pa.Array, label: np.ndarray, *, epochs: int | None = None, batc
         chosen = rng.permutation(chosen)
         for b in range(0, len(chosen), batch):
             c = chosen[b:b + batch]
-            word, mask = model.gather(x, vocab.inverse, start[c], size[c])
+            word, mask = model.gather(x, inverse, start[c], size[c])
             u, inv = np.unique(word, return_inverse=True)
             inv = inv.reshape(word.shape)
             cnt = np.diff(bounds)[u]
@@ -318,7 +362,7 @@ def train(texts: pa.Array, label: np.ndarray, *, epochs: int | None = None, batc
         x = model.inputs(wid, owner, gram)
         pre = x @ model.p["W"] + model.p["b"]
         for at in range(0, len(start), 4096):
-            word, mask = model.gather(pre, vocab.inverse, start[at:at + 4096], size[at:at + 4096])
+            word, mask = model.gather(pre, inverse, start[at:at + 4096], size[at:at + 4096])
             prob[at:at + 4096] = _sigmoid(model.forward(pre[word], mask))
     best = np.zeros(len(label))
     np.maximum.at(best, row, prob)
@@ -329,12 +373,12 @@ def train(texts: pa.Array, label: np.ndarray, *, epochs: int | None = None, batc
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-           per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> pa.Table:
-    """At most ``per_class`` labelled texts of each class, in an order fixed by a hash of the id.
+           per_class: int = SAMPLE_PER_CLASS) -> pa.Table:
+    """At most ``per_class`` labelled texts of each class, whole, in an order fixed by a hash of the id.
 
-    A document labelled more than once counts as toxic if any label says so.
-    Only the sample's ids (bounded) are broadcast; texts beyond ``max_chars``
-    are not used for fitting (they are scored whole like any other).
+    A document labelled more than once counts as toxic if any label says so;
+    null ids, labels and texts are left out, and so are labels without a
+    document.  Rows that repeat an id and a text count once.  Only the sample's ids (bounded) are broadcast.
     """
     known = (labels.where(labels[doc_id].isNotNull() & labels[label].isNotNull())
              .groupBy(labels[doc_id].alias("__id")).agg((F.max(labels[label]) > 0).cast("int").alias("__y")))
@@ -342,9 +386,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     for y in (0, 1):
         some = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
         pick = some if pick is None else pick.union(some)
-    rows = docs.where(docs[text].isNotNull() & (F.length(docs[text]) <= max_chars)).select(
-        docs[doc_id].alias("__id"), docs[text].alias("__text"))
-    return rows.join(F.broadcast(pick), "__id").toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
+    rows = docs.where(docs[text].isNotNull()).select(docs[doc_id].alias("__id"), docs[text].alias("__text"))
+    return rows.join(F.broadcast(pick), "__id").distinct().toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
 
 
 def fit(docs: DataFrame, labels: DataFrame, **kw) -> Model | None:
@@ -358,19 +401,22 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, *, doc_id:
 
     Null and empty texts, and texts without a word, have no window and score
     0.  Without a model (no labels, or labels of one class only) nothing is
-    known to be toxic: all score 0.  Repeated rows and null ids pass through;
-    further columns are ignored.  A narrow map: nothing is shuffled; the
+    known to be toxic: all score 0.  Very long texts have all their windows
+    scored.  Repeated rows and null ids pass through, ids of any type; ties
+    cannot arise; an empty table gives an empty result; further columns are
+    ignored, whatever their names.  A narrow map: nothing is shuffled; the
     model (a few MB at most, by MAX_WORDS and MAX_NGRAMS) goes to the workers
-    once.
+    once, as plain arrays.
     """
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(None if model is None else model.state())
     schema = pa.schema([("doc_id", docs_type(docs, doc_id)), ("toxicity", pa.float64()), ("n_windows", pa.int64()), ("is_toxic", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.of(shared.value)
         for batch in batches:
             for part in slices(batch, 1):
-                best, n = _scores(shared.value, part.column(1))
-                flag = best >= shared.value.threshold if shared.value else np.zeros(len(best), bool)
+                best, n = _scores(own, part.column(1))
+                flag = best >= own.threshold if own else np.zeros(len(best), bool)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(best.astype(np.float64)), pa.array(n.astype(np.int64)), pa.array(flag)], schema=schema)
 
@@ -386,17 +432,23 @@ def _scores(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches the model's threshold; all columns pass through."""
-    shared = spark.sparkContext.broadcast(model)
+    """``docs`` without the rows whose score reaches the model's threshold; all columns pass through, whatever their names.
+
+    Rows with a null, empty or wordless text score 0 and stay; without a model
+    all rows stay.  Repeated rows share their fate; ids are not looked at; very
+    long texts are judged by all their windows; an empty table stays empty.
+    """
+    shared = spark.sparkContext.broadcast(None if model is None else model.state())
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.of(shared.value)
         for batch in batches:
             for part in slices(batch, place):
-                if shared.value is None:
+                if own is None:
                     yield part
                 else:
-                    best, _ = _scores(shared.value, part.column(place))
-                    yield part.filter(pa.array(best < shared.value.threshold))
+                    best, _ = _scores(own, part.column(place))
+                    yield part.filter(pa.array(best < own.threshold))
 
     return docs.mapInArrow(run, docs.schema)

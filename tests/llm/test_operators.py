@@ -185,6 +185,67 @@ def test_toxicity(spark):
     assert {r.doc_id: r.is_toxic for r in toxicity.score(spark, tail, model).collect()} == {1: True, 2: False}
 
 
+def test_toxicity_gradient():
+    """The hand-written backward pass against finite differences."""
+    rng = np.random.default_rng(9)
+    model = toxicity.Model(np.arange(1, 6, dtype=np.uint64), np.arange(1, 8, dtype=np.uint64), np.zeros(5, np.float32), np.zeros(7, np.float32))
+    model.p = {k: v.astype(np.float64) + rng.normal(0, 0.2, v.shape) for k, v in model.p.items()}
+    pre = rng.normal(size=(3, toxicity.WINDOW, 6 * toxicity.HIDDEN))
+    mask = (np.arange(toxicity.WINDOW) < np.array([[32], [5], [1]])).astype(np.float64)
+    weight = rng.normal(size=3)
+    out = model.forward(pre, mask, keep=True)
+    grads, dpre = model.backward(weight, *out[1:])
+    loss = lambda: float(model.forward(pre, mask) @ weight)
+
+    def slope(a, at, h=1e-3):
+        a[at] += h
+        up = loss()
+        a[at] -= 2 * h
+        down = loss()
+        a[at] += h
+        return (up - down) / (2 * h)
+
+    for name in ("v", "o", "c", "U"):
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in model.p[name].shape)
+            assert grads[name][at] == pytest.approx(slope(model.p[name], at), rel=0.02, abs=2e-3), name
+    for at in ((0, 0, 3), (0, 31, 40), (1, 4, 17), (1, 2, 30), (2, 0, 25)):
+        assert dpre[at] == pytest.approx(slope(pre, at), rel=0.02, abs=2e-3)
+    assert not dpre[1, 5:].any()
+
+
+def test_features_by_slices(monkeypatch):
+    """Gathered slice by slice, the words of a column and their n-grams are those of the whole."""
+    texts = pa.array(["some words are here, some elsewhere", None, "words", "", "elsewhere are others"] * 3)
+    whole = toxicity.Features(texts)
+    real = toxicity.slices
+    monkeypatch.setattr(toxicity, "slices", lambda batch, text: real(batch, text, 10))
+    parts = toxicity.Features(texts)
+    assert (whole.hash[whole.word] == parts.hash[parts.word]).all() and (whole.count == parts.count).all()
+    for a, b in zip(whole.pieces, parts.pieces):
+        assert {*zip(whole.hash[a[0]].tolist(), a[1].tolist())} == {*zip(parts.hash[b[0]].tolist(), b[1].tolist())} and len(a[0]) == len(b[0])
+
+
+def test_models_travel(tmp_path):
+    """Workers need not have the package: models go to them as arrays."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from plumbline.llm import maxent, toxicity
+s = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.executor.memory", "900m").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+d = s.read.parquet("{SF}/documents.parquet")
+assert maxent.score(s, d, maxent.train(s, d)).where("perplexity > 1").count() > 100
+assert toxicity.score(s, d, toxicity.fit(d, s.read.parquet("{SF}/labels.parquet"))).where("n_windows > 0").count() > 100
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_windows():
     for n in (0, 1, 31, 32, 33, 48, 49, 500):
         start, size, row = toxicity.windows(np.array([n]))
