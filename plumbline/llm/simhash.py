@@ -29,8 +29,9 @@ from .textkit import Words, mix64, slices
 
 BITS = 128
 BUDGET = 26  #: differing bits of a near copy: half the pairs at 0.7 Jaccard similarity of the word sets, nine in ten at 0.8
-TILE_CODES = 1 << 20  #: codes of one trie tile; a task holds two tiles (24 bytes a code)
-LEAF = 8  #: a node with at most this many codes is compared outright
+#: Codes of one trie tile, of which a task holds two (24 bytes a code): TILE_SHARE times the square root of the number of codes, within these bounds.
+TILE_SHARE, TILE_CODES = 256, (1 << 15, 1 << 23)
+LEAF = 32  #: a node with at most this many codes is compared outright
 _SEEDS = (np.uint64(0x51A7E0F2C39B1D01), np.uint64(0xA3C59AC2F0E1B7D3))
 
 
@@ -128,7 +129,7 @@ def trie_pairs(hi1, lo1, hi2, lo2, *, width: int, small: int, budget: int, same:
             continue
         leaf = ((a1 - a0 <= LEAF) & (b1 - b0 <= LEAF)) if level < BITS else np.ones(len(a0), dtype=bool)
         if leaf.any():
-            yield from _compare(hi1, lo1, hi2, lo2, a0[leaf], a1[leaf], b0[leaf], b1[leaf], width, small, budget, same, block * 8)
+            yield from _compare(hi1, lo1, hi2, lo2, a0[leaf], a1[leaf], b0[leaf], b1[leaf], width, small, budget, same, 1 << 16)
             go = ~leaf
             a0, a1, b0, b1, diff = a0[go], a1[go], b0[go], b1[go], diff[go]
         if not len(a0):
@@ -161,31 +162,47 @@ def _middle(hi, lo, a0, a1, level, bit):
 
 
 def _compare(hi1, lo1, hi2, lo2, a0, a1, b0, b1, width, small, budget, same, block):
-    """All pairs of codes of the given pairs of ranges that keep to the budgets."""
+    """All pairs of codes of the given pairs of ranges that keep to the budgets.
+
+    Pairs of ranges of one shape are compared together: their codes are
+    gathered once and broadcast against each other.
+    """
     na, nb = a1 - a0, b1 - b0
-    size = na * nb
-    ends = np.cumsum(size)
-    at = 0
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, side="right")))
-        k = np.repeat(np.arange(at, to), size[at:to])
-        place = np.arange(len(k)) - np.repeat(ends[at:to] - size[at:to] - (ends[at - 1] if at else 0), size[at:to])
-        i = a0[k] + place // nb[k]
-        j = b0[k] + place % nb[k]
-        if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        x, y = hi1[i] ^ hi2[j], lo1[i] ^ lo2[j]
-        ok = np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= budget
-        i, j, x, y = i[ok], j[ok], x[ok], y[ok]
-        if width <= 64:
-            head = np.bitwise_count(x >> np.uint64(64 - width)).astype(np.int16)
+    wide = int(nb.max()) + 1
+    shape = na * wide + nb
+    order = np.argsort(shape, kind="stable")
+    ends = np.r_[np.flatnonzero(np.diff(shape[order])) + 1, len(order)]
+    begin = 0
+    for end in ends:
+        p, q = divmod(int(shape[order[begin]]), wide)
+        if p * q > block:  # codes equal but for their last bits, in ranges too large for one step
+            for k in order[begin:end]:
+                step = max(1, block // q)
+                for at in range(int(a0[k]), int(a1[k]), step):
+                    yield from _grid(hi1, lo1, hi2, lo2, np.arange(at, min(at + step, int(a1[k])))[None], np.arange(b0[k], b1[k])[None], width, small, budget, same)
         else:
-            head = np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y >> np.uint64(128 - width))
-        ok = head <= small
-        if ok.any():
-            yield i[ok], j[ok]
-        at = to
+            step = max(1, block // (p * q))
+            for at in range(begin, end, step):
+                k = order[at:min(at + step, end)]
+                yield from _grid(hi1, lo1, hi2, lo2, a0[k, None] + np.arange(p), b0[k, None] + np.arange(q), width, small, budget, same)
+        begin = end
+
+
+def _grid(hi1, lo1, hi2, lo2, i, j, width, small, budget, same):
+    """Pairs of each row of ``i`` with the same row of ``j`` that keep to the budgets."""
+    x = hi1[i][:, :, None] ^ hi2[j][:, None]
+    count = np.bitwise_count(x)
+    k, r, c = np.nonzero(count <= budget)  # most pairs differ too much in their first half
+    if not len(k):
+        return
+    i, j, x = i[k, r], j[k, c], x[k, r, c]
+    y = lo1[i] ^ lo2[j]
+    head = np.bitwise_count(x >> np.uint64(64 - width)) if width <= 64 else np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y >> np.uint64(128 - width))
+    ok = (np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= budget) & (head <= small)
+    if same:
+        ok &= i < j
+    if ok.any():
+        yield i[ok], j[ok]
 
 
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,7 +222,7 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET,
-                tile_codes: int = TILE_CODES, segments: int | None = None) -> DataFrame:
+                tile_codes: int | None = None, segments: int | None = None) -> DataFrame:
     """All members of all near-duplicate groups: ``doc_id``, ``keep_id``, ``copies``, ``kept``.
 
     Two documents are linked if their codes differ in ``budget`` bits or
@@ -229,6 +246,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id",
     n = one.count()
     m = segments or plan_segments(n, budget)
     width, small = BITS // m, budget // m
+    tile_codes = tile_codes or min(TILE_CODES[1], max(TILE_CODES[0], int(TILE_SHARE * n ** 0.5)))
     level = max(0, math.ceil(math.log2(max(1.0, n / tile_codes)))) if n else 0
     level = min(level, width, 20)
     near = _join_tiles(one, m, width, small, budget, level)
