@@ -13,13 +13,15 @@ a few decisions away, a rare one up to some forty, about ten on average; no
 decision needs a sum over the vocabulary, and the probabilities of all buckets
 sum to one.
 
-Every decision has hashed features: the word before (bigram), the two words
-before (trigram), and the words two and three back alone (skips), each joined
-with the decision's node and hashed to a slot of one table of weights, and a
-bias of its own.
-
-Training is synchronous: in each round all tasks add up, over all documents,
-what the slots saw (observed) and what the common weights foretold (expected);
+Every decision has hashed features: the word before (bigram) and the two words
+before (trigram), in the first SKIP_LEVELS levels, which choose the class, also
+the words two and three back alone (skips), each joined with the decision's
+node and hashed to a slot of a table of weights, and a bias of its own.  The table has a part for each level of the tree, and texts
+are worked on level by level, so that the part in use stays in a core's cache.
+
+Training is synchronous and sees every document once: in each round all tasks
+add up, over the round's share of the documents, what the slots saw
+(observed) and what the common weights foretold (expected);
 their difference is the gradient of the log likelihood.  The sums are
 combined in a shuffle and one step is taken: along the gradient, scaled in
 each slot by its own counts.  So neither the number of tasks nor the order of
@@ -46,6 +48,10 @@ CLASSES, DIRECTIONS, TURNS = 16, 4, 2  #: classes, directions of co-occurrence t
 COMMON, SEEDS = 2048, 256  #: most frequent buckets, from whose company the directions start, and from which the first centres are taken
 RATE, PRIOR = 0.4, 0.6  #: length of a step; counts that each slot has beforehand for either side
 BUCKET_SHARE, SLOT_SHARE, SLOT_POWER = 32, 16, 0.6  #: buckets for the square root of the corpus' bytes; slots for their power 0.6
+SKIP_LEVELS = 6
+LIMIT = 16.0  #: log odds are kept within this, so a word's probability never underflows
+LEVELS = 16  #: parts of the table; deeper levels share the last one
+SLICE, CHUNK = 2 << 20, 1 << 13  #: bytes of text worked on together, words in one step
 PIECE = 1 << 14  #: numbers that travel together
 TASK_BYTES = 64  #: a task reads this many bytes of text or more for each slot, so that what it sends is a small share of what it reads
 _OFFSETS = tuple(np.uint64(x) for x in (0x1B873593A5A5A5A5, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87))
@@ -161,7 +167,7 @@ def _buckets(words: Words, buckets: int) -> np.ndarray:
 
 
 def encode(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word and the (4, words) hashes of its history features; before a text's begin stands nothing (hash 0)."""
+    """Bucket of each word and the (words, 4) hashes of its history features; before a text's begin stands nothing (hash 0)."""
     h = words.hash
     n = len(h)
     base = np.cumsum(words.count) - words.count
@@ -174,89 +180,105 @@ def encode(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         back.append(b)
     p1, p2, p3 = back
     mixed = (p1 + _OFFSETS[0], (p1 ^ (p2 * _STEP)) + _OFFSETS[1], p2 + _OFFSETS[2], p3 + _OFFSETS[3])
-    return _buckets(words, buckets), np.stack([mix64(x) for x in mixed]) if n else np.zeros((4, 0), np.uint64)
+    out = np.empty((n, 4), np.uint64)
+    for j, x in enumerate(mixed):
+        out[:, j] = mix64(x)
+    return _buckets(words, buckets), out
 
 
-def decisions(model: Model, bucket: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Level by level down the tree: (words still under way, their node, their side, the (4, words) slots)."""
+def decisions(model: Model, bucket: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level down the tree, in chunks: (level, words under way, their node, their side, the (words, 4 or 2) slots)."""
     rank = model.rank[bucket]
     at = np.arange(len(rank)) if len(model.rank) > 1 else np.zeros(0, np.int64)
-    node = np.zeros(len(at), np.int64)
-    size = np.uint64(max(1, len(model.slots)))
+    node = np.zeros(len(at), np.int32)
+    part = len(model.slots) // LEVELS
+    size, half, level = np.uint64(part), np.uint64(32), 0
     while len(at):
-        up = rank[at] >= model.split[node]
-        key = (node.astype(np.uint64) + np.uint64(1)) * _STEP
-        x = (hashes[:, at] ^ key) * np.uint64(0xD6E8FEB86659FD93)
-        slot = (((x >> np.uint64(32)) * size) >> np.uint64(32)).astype(np.int64)
-        yield at, node, up, slot
-        node = np.where(up, model.high[node], model.low[node]).astype(np.int64)
-        go = node >= 0
-        at, node = at[go], node[go]
+        base = min(level, LEVELS - 1) * part
+        next_at, next_node = [], []
+        for c in range(0, len(at), CHUNK):
+            a, n = at[c:c + CHUNK], node[c:c + CHUNK]
+            up = rank[a] >= model.split[n]
+            x = hashes[a] if level < SKIP_LEVELS else hashes[a, :2]
+            x ^= ((n.astype(np.uint64) + np.uint64(1)) * _STEP)[:, None]
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x >>= half
+            x *= size
+            x >>= half
+            slot = x.view(np.int64)
+            slot += base
+            yield level, a, n, up, slot
+            n = np.where(up, model.high[n], model.low[n])
+            go = n >= 0
+            next_at.append(a[go]), next_node.append(n[go])
+        at, node, level = np.concatenate(next_at), np.concatenate(next_node), level + 1
 
 
 def _chance(model: Model, node: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Log odds of the upper side."""
-    x = model.bias[node] + model.slots[slot[0]]
-    for j in (1, 2, 3):
-        x += model.slots[slot[j]]
-    return x
+    got = model.slots[slot]
+    x = model.bias[node]
+    for j in range(got.shape[1]):
+        x += got[:, j]
+    return np.clip(x, -LIMIT, LIMIT, out=x)
 
 
 def gather(model: Model, words: Words, sums: dict[str, np.ndarray]) -> None:
     """Add what the slots see in some texts: ``expected`` and, where asked for, ``seen`` decisions and ``upper`` sides taken."""
     bucket, hashes = encode(words, len(model.rank))
-    size = len(model.slots)
-    todo = {k: [] for k in sums}
-    held = 0
+    part, now = len(model.slots) // LEVELS, -1
+    both, fore = np.zeros(part), np.zeros(part)
+    count, big = "seen" in sums, float(1 << 26)  # both counts of a level share one number; a slice has fewer words by far
 
     def flush() -> None:
-        nonlocal held
-        if held:
-            slot = np.concatenate(todo["slot"])
-            for k, total in sums.items():
-                weight = None if k == "seen" else np.concatenate(todo[k])
-                if held * 4 > size:
-                    total += np.bincount(slot, weight, minlength=size)
-                else:
-                    np.add.at(total, slot, 1.0 if weight is None else weight)
-            for v in todo.values():
-                v.clear()
-            held = 0
-
-    todo["slot"] = []
-    for _, node, up, slot in decisions(model, bucket, hashes):
-        p = 1 / (1 + np.exp(-_chance(model, node, slot)))
-        todo["slot"].append(slot.ravel())
-        todo["expected"].append(np.tile(p.astype(np.float32), 4))
-        if "upper" in sums:
-            todo["upper"].append(np.tile(up.astype(np.float32), 4))
-        held += slot.size
-        if held > 1 << 21:
+        if now >= 0:
+            base = min(now, LEVELS - 1) * part
+            sums["expected"][base:base + part] += fore
+            fore[:] = 0
+            if count:
+                high = np.floor(both / big)
+                sums["upper"][base:base + part] += high
+                sums["seen"][base:base + part] += both - high * big
+                both[:] = 0
+
+    for level, _, node, up, slot in decisions(model, bucket, hashes):
+        if level != now:
             flush()
+            now = level
+        base = min(level, LEVELS - 1) * part
+        p = 1 / (1 + np.exp(-_chance(model, node, slot)))
+        slot -= base
+        p = p.astype(np.float64)
+        both_ = up * big + 1.0
+        for j in range(slot.shape[1]):
+            np.add.at(fore, slot[:, j], p)
+            if count:
+                np.add.at(both, slot[:, j], both_)
     flush()
 
 
 def _step(slots: np.ndarray, seen: np.ndarray, upper: np.ndarray, expected: np.ndarray) -> None:
     """One step of all slots along observed less expected counts, on the log scale of either side."""
     lower, unexpected = seen - upper, np.maximum(0, seen - expected)
-    slots += RATE * (np.log((upper + PRIOR) / (np.maximum(0, expected) + PRIOR)) - np.log((lower + PRIOR) / (unexpected + PRIOR))).astype(np.float32)
+    step = np.log((upper + PRIOR) / (np.maximum(0, expected) + PRIOR)) - np.log((lower + PRIOR) / (unexpected + PRIOR))
+    slots += (RATE * step).astype(np.float32)
 
 
 def sizes(n_bytes: int) -> tuple[int, int]:
     """(buckets, slots) for a corpus of so many bytes."""
-    return max(256, round(BUCKET_SHARE * n_bytes ** 0.5)), max(4096, round(SLOT_SHARE * n_bytes ** SLOT_POWER))
+    return max(256, round(BUCKET_SHARE * n_bytes ** 0.5)), LEVELS * max(256, round(SLOT_SHARE / LEVELS * n_bytes ** SLOT_POWER))
 
 
 def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS, shape: tuple[int, int] | None = None, tasks: int | None = None) -> Model:
-    """Fit the model on all words of all documents, each document in every round.
+    """Fit the model on all words of all documents, each text in one of ``rounds`` rounds (by a hash of it).
 
     Null, empty and wordless texts add nothing; repeated rows count as often as
     they occur; a very long text is one text; without any word every bucket is
     about as likely as another.  ``shape`` (buckets, slots) replaces what follows from the
     corpus' size, and ``tasks`` the number of tasks.  Columns other than the text are ignored.
 
-    Work: one pass counts the buckets, ``TURNS`` find their company, then
-    ``rounds`` passes fit; all read the texts where they lie.  What a task sends grows with the table, so tasks read
+    Work: one pass counts the buckets, ``TURNS`` find their company, then the
+    rounds fit; all read the texts where they lie.  What a task sends grows with the table, so tasks read
     TASK_BYTES a slot or more; it is combined by piece in the shuffle.  The
     driver holds the table (8 bytes a slot and sum) and broadcasts 4 bytes a
     slot and 20 a bucket; both follow the corpus' size by powers below one.
@@ -268,15 +290,15 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
 
     tasks = tasks or max(spark.sparkContext.defaultParallelism, n_bytes // (TASK_BYTES * size))
 
-    def total(make: Callable[[], dict[str, np.ndarray]], add: Callable[[Words, dict[str, np.ndarray]], None]) -> dict[str, np.ndarray]:
-        """Sums over all texts: ``make`` gives a task's zeros, ``add`` adds some texts to them."""
+    def total(rows: DataFrame, make: Callable[[], dict[str, np.ndarray]], add: Callable[[Words, dict[str, np.ndarray]], None]) -> dict[str, np.ndarray]:
+        """Sums over the texts of ``rows``: ``make`` gives a task's zeros, ``add`` adds some texts to them."""
         kinds = {k: v.dtype for k, v in make().items()}
         sent = {k: np.dtype(np.float32) if t == np.float64 else t for k, t in kinds.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = make()
             for batch in batches:
-                for part in slices(batch, 0):
+                for part in slices(batch, 0, SLICE):
                     words = Words(part.column(0))
                     if len(words.hash):
                         add(words, sums)
@@ -303,35 +325,34 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
     def count(words: Words, sums: dict[str, np.ndarray]) -> None:
         np.add.at(sums["counts"], _buckets(words, buckets), 1)
 
-    counts = total(lambda: {"counts": np.zeros(buckets, np.int64)}, count)["counts"]
+    counts = total(rows, lambda: {"counts": np.zeros(buckets, np.int64)}, count)["counts"]
     points = start_directions(counts)
     for _ in range(TURNS):
         shared = spark.sparkContext.broadcast(points)
         zeros = lambda: {f"d{d}": np.zeros(buckets, np.int64) for d in range(DIRECTIONS)}
-        found = total(zeros, lambda words, sums: company(shared.value, words, [sums[f"d{d}"] for d in range(DIRECTIONS)]))
+        found = total(rows, zeros, lambda words, sums: company(shared.value, words, [sums[f"d{d}"] for d in range(DIRECTIONS)]))
         points = next_directions(np.stack([found[f"d{d}"] for d in range(DIRECTIONS)]), counts)
         shared.unpersist()
     model = grow_tree(counts, cluster(points, counts))
     model.slots = np.zeros(size, np.float32)
-    known: dict[str, np.ndarray] = {}
-    for _ in range(rounds):
-        wanted = [k for k in ("expected", "seen", "upper") if k not in known]
+    for k in range(rounds):
         shared = spark.sparkContext.broadcast(model.state())
-        known |= total(lambda: {k: np.zeros(size) for k in wanted}, lambda words, sums: gather(Model(**shared.value), words, sums))
+        share = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        sums = total(share, lambda: {x: np.zeros(size) for x in ("expected", "seen", "upper")}, lambda words, sums: gather(Model(**shared.value), words, sums))
         model.slots = model.slots.copy()
-        _step(model.slots, known["seen"], known["upper"], known.pop("expected"))
+        _step(model.slots, **sums)
         shared.unpersist()
     return model
 
 
 def log_probs(model: Model, words: Words) -> np.ndarray:
-    """Log probability (base e) of every word, in sparse batches: four slots of the table are gathered a decision."""
+    """Log probability (base e) of every word, in sparse batches: a few slots of the table are gathered a decision."""
     bucket, hashes = encode(words, len(model.rank))
-    out = np.zeros(len(bucket))
-    for at, node, up, slot in decisions(model, bucket, hashes):
+    out = np.ones(len(bucket))
+    for _, at, node, up, slot in decisions(model, bucket, hashes):
         x = _chance(model, node, slot)
-        out[at] -= np.log1p(np.exp(-np.abs(x))) + np.maximum(0, np.where(up, -x, x))
-    return out
+        out[at] *= 1 / (1 + np.exp(np.where(up, -x, x)))
+    return np.log(out)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,7 +370,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, *, doc_id: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**shared.value)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 words = Words(part.column(1))
                 lp = np.bincount(words.doc, log_probs(own, words), minlength=words.rows)
                 n = words.count.astype(np.int64)
