@@ -15,13 +15,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .shelf import BROADCAST_BYTES, Shelf, fresh
 
 TEMPER = 0.9  #: without given weights, a source weighs its number of documents to this power
 BLOCK_DOCS = 16
-SHARD_DOCS = 8192
+SHARD_DOCS, SHARDS = 8192, 1 << 16  #: without a given size shards hold so many documents; more, if there were more than so many shards
 SEED = 20240601
 BUCKET_DOCS = 4096  #: documents ranked together in one piece of a source's permutation
 
@@ -66,27 +67,44 @@ def deal(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
 
 
 def _large(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
-    """A draw from more blocks than the generator takes: rounded normal marginals, kept within their bounds."""
+    """The same draw for more blocks than numpy's generator takes: source by source, each by inversion of its hypergeometric distribution."""
     out, rest = np.zeros_like(have), int(have.sum())
     for i, h in enumerate(have):
-        h = int(h)
-        after = rest - h
-        low, high = max(0, n - after), min(n, h)
-        p = h / rest if rest else 0
-        spread = math.sqrt(max(0.0, n * p * (1 - p) * (rest - n) / max(1, rest - 1)))
-        out[i] = min(high, max(low, round(rng.normal(n * p, spread))))
-        n, rest = n - int(out[i]), after
+        out[i] = _hypergeometric(rng, int(h), rest, n)
+        n, rest = n - int(out[i]), rest - int(h)
     return out
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, total: int, n: int) -> int:
+    """How many of ``good`` among ``total`` are in a draw of ``n``.
+
+    The probabilities around the mode, as far as forty standard deviations,
+    follow from one another by their ratios; what lies beyond has less than
+    the rounding error of a double.
+    """
+    low, high = max(0, n - (total - good)), min(n, good)
+    if low == high:
+        return low
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    share = good / total
+    reach = 40 * math.sqrt(max(1.0, n * share * (1 - share) * (total - n) / max(1, total - 1))) + 40
+    a, b = max(low, mode - int(reach)), min(high, mode + int(reach))
+    k = np.arange(a, b, dtype=np.float64)
+    step = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(total - good - n + k + 1)
+    log = np.r_[0.0, np.cumsum(step)]
+    mass = np.cumsum(np.exp(log - log.max()))
+    return a + int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
+
+
 def _key(column: Column) -> Column:
     """Source as a non-null string: null is a source of its own."""
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("0"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float] | None = None, size: int | None = None, doc_id: str = "doc_id",
-        source: str = "source", block_docs: int = BLOCK_DOCS, shard_docs: int = SHARD_DOCS, seed: int = SEED, temper: float = TEMPER) -> DataFrame:
-    """The mixed corpus: all columns of ``docs`` and ``shard``, ``epoch`` and ``order_key``.
+        source: str = "source", block_docs: int = BLOCK_DOCS, shard_docs: int | None = None, seed: int = SEED, temper: float = TEMPER,
+        outputs: tuple[str, str, str] = ("shard", "epoch", "order_key")) -> DataFrame:
+    """The mixed corpus: all columns of ``docs`` and ``shard``, ``epoch`` and ``order_key`` (or other ``outputs``).
 
     A source's share of the rows is its weight's share, exact to the document;
     without ``weights`` a source weighs its number of documents to the power
@@ -97,16 +115,18 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
 
     The unit is a document id in a source: repeated rows and null ids go
     where their id goes and count once in each source that holds them (a null
-    id is one unit of its source).  A null source is a source of its own.  Empty and long texts are documents like others.  An empty
-    table, or weights that name none of its sources, give an empty result.
-    Columns that clash with the three new ones are replaced by them.
+    id is one unit of its source).  A null source is a source of its own.  Ids
+    are of any type.  Empty, null and very long texts are documents like
+    others.  An empty table, or weights that name none of its sources, give an
+    empty result.  Ties in the random order go by id.  Columns that clash with
+    the three new ones are replaced by them; no other name matters.
 
     Work: one pass over the ids ranks each source's permutation (buckets of
     about ``BUCKET_DOCS`` ids are sorted apart and offset by the counts
     before them), which yields the hashes at which one shard ends and the
     next begins.  Given these, a document finds its shard where it is read,
     so texts move once, to their shard.  The driver holds a number for each
-    source, epoch and shard: let ``shard_docs`` grow with the corpus.
+    source, epoch and shard, of which there are SHARDS at most.
     """
     shelf = Shelf(spark)
     unit, src, slot, hash_, bounds = fresh(docs, "unit", "src", "slot", "hash", "bounds")
@@ -118,11 +138,11 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
     else:
         wanted = {"0" if s is None else f"={s}": w for s, w in weights.items()}
     quota = quotas(counts, wanted, size)
-    plain = [c for c in docs.columns if c.lower() not in ("shard", "epoch", "order_key")]
+    plain = [c for c in docs.columns if c.lower() not in {n.lower() for n in outputs}]
     if not quota:
-        return docs.limit(0).select(*[F.col(f"`{c}`") for c in plain], F.lit(0).alias("shard"), F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("order_key"))
+        return docs.limit(0).select(*[F.col(f"`{c}`") for c in plain], F.lit(0).alias(outputs[0]), F.lit(0).alias(outputs[1]), F.lit(0).cast("bigint").alias(outputs[2]))
     slots = [(s, e, min(counts[s], q - e * counts[s])) for s, q in sorted(quota.items()) for e in range(-(-q // counts[s]))]
-    shards = max(1, -(-sum(quota.values()) // shard_docs))
+    shards = max(1, -(-sum(quota.values()) // (shard_docs or max(SHARD_DOCS, sum(quota.values()) // SHARDS))))
     dealt = deal(np.array([-(-n // block_docs) for _, _, n in slots]), shards, seed).cumsum(axis=0)
     # A slot is a source in one epoch.  It has a boundary where a shard with blocks of it begins.
     names, epochs, places, owners = [], [], [], []
@@ -160,21 +180,25 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
             table.setdefault(r[0], []).append((r[1], np.array([x[0] for x in r[2]]), np.array([x[1] for x in r[2]])))
         shared = spark.sparkContext.broadcast(table)
 
-        @F.pandas_udf("array<struct<epoch:int,shard:int>>")
-        def place(of: pd.Series, *hashes: pd.Series) -> pd.Series:
-            out = [[] for _ in range(len(of))]
-            rows = pd.Series(range(len(of))).groupby(of.to_numpy(), sort=False).indices
-            for name, at in rows.items():
-                for epoch, first, shard in shared.value.get(name, ()):
-                    h = hashes[epoch].to_numpy()[at]
-                    for i, s in zip(at, shard[np.searchsorted(first, h, side="right") - 1].tolist()):
-                        if s >= 0:
-                            out[i].append((epoch, s))
-            return pd.Series([[{"epoch": e, "shard": s} for e, s in x] for x in out])
+        @F.arrow_udf("array<struct<epoch:int,shard:int>>")
+        def place(of: pa.Array, *hashes: pa.Array) -> pa.Array:
+            name, code = np.unique(np.asarray(of.to_pylist(), object).astype(str), return_inverse=True)
+            row, epochs, to = [], [], []
+            for k, source_ in enumerate(name.tolist()):
+                at = np.flatnonzero(code == k)
+                for epoch, first, shard in shared.value.get(source_, ()):
+                    s = shard[np.searchsorted(first, hashes[epoch].to_numpy(zero_copy_only=False)[at], side="right") - 1]
+                    row.append(at[s >= 0]), to.append(s[s >= 0]), epochs.append(np.full(int((s >= 0).sum()), epoch, np.int32))
+            none = [np.zeros(0, np.int32)]
+            row, epochs, to = (np.concatenate(x + none) for x in (row, epochs, to))
+            by = np.argsort(row, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(row.astype(np.int64), minlength=len(of)))].astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(epochs[by].astype(np.int32)), pa.array(to[by].astype(np.int32))], names=["epoch", "shard"])
+            return pa.ListArray.from_arrays(pa.array(ends), pairs)
 
         hashes = [F.xxhash64(F.lit(seed), F.lit(e), F.col(unit)).bitwiseXOR(F.lit(-(1 << 63))) for e in range(max(spread.values()))]
         placed = body.withColumn(slot, F.explode(place(F.col(src), *hashes))).select(
-            *[F.col(f"`{c}`") for c in plain], F.col(f"{slot}.shard").alias("shard"), F.col(f"{slot}.epoch").alias("epoch"), F.col(unit))
+            *[F.col(f"`{c}`") for c in plain], F.col(f"{slot}.shard").alias(outputs[0]), F.col(f"{slot}.epoch").alias(outputs[1]), F.col(unit))
     else:
         # Too many boundaries to broadcast: each unit's shard is found by a running maximum and joined by source and id.
         run = Window.partitionBy(*slot_, "piece").orderBy(hash_, unit)
@@ -183,6 +207,8 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
         carried = last.withColumn("carried", F.last("last", True).over(Window.partitionBy(*slot_).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
         to = cut.withColumn("to", F.last("shard", True).over(run)).join(carried, [*slot_, "piece"]).select(
             F.col(unit).alias(slot), F.col(src).alias(hash_), "epoch", F.coalesce("to", "carried").cast("int").alias("shard")).where("shard >= 0")
-        placed = body.join(to, (body[src] == to[hash_]) & body[unit].eqNullSafe(to[slot])).select(*[F.col(f"`{c}`") for c in plain], "shard", "epoch", F.col(unit))
-    return (placed.withColumn("order_key", F.xxhash64(F.lit(seed + 1), "shard", "epoch", F.col(unit))).drop(unit)
-            .repartitionById(shards, F.col("shard")).sortWithinPartitions("order_key"))
+        to = to.select(slot, hash_, F.col("epoch").alias("__epoch"), F.col("shard").alias("__shard"))
+        placed = body.join(to, (body[src] == to[hash_]) & body[unit].eqNullSafe(to[slot])).select(
+            *[F.col(f"`{c}`") for c in plain], to["__shard"].alias(outputs[0]), to["__epoch"].alias(outputs[1]), F.col(unit))
+    return (placed.withColumn(outputs[2], F.xxhash64(F.lit(seed + 1), outputs[0], outputs[1], F.col(unit)))
+            .repartitionById(shards, F.col(outputs[0])).sortWithinPartitions(outputs[2], unit).drop(unit))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shelf import Shelf
+from .shelf import Shelf, fresh
 from .textkit import mix64, slices, utf8
 
 GEAR_WINDOW = 16
@@ -26,6 +26,8 @@ GATE_BITS = 0xE400  #: bits of the gear hash that are 0 at a candidate: one plac
 MIN_GAP = 12
 MIN_CHUNK = 64
 MAX_CHUNK = 1024  #: a stretch without cuts is cut this far on
+HOT_KEYS = 1 << 15  #: a half digest is frequent if it has more than this part of all chunks; there can't be more such halves, so they may be broadcast
+LEAST_HOT = 1 << 12  #: nor is one that has fewer chunks than this
 _GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 32, 256, dtype=np.uint32)
 _POLY = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -140,19 +142,34 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, *, doc_id: str = "do
     digests are counted with map-side combining; the chunks are then moved
     once, to the repeated halves, and everything up to the passages happens
     where they are, in streams: a frequent digest is never held in memory.
+    The most frequent halves (fewer than HOT_KEYS) are not moved at all: their
+    chunks meet them where they lie, and are combined within tasks.
     """
     shelf = Shelf(spark)
     table = shelf.put(chunk_table(docs, doc_id=doc_id, text=text))
-    # Half a digest picks the rows that may repeat; only these are told apart by the whole one.  All of it is partitioned by that half,
-    # and both uses of the rows read the same columns, so they share one exchange.
-    twice = table.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1")
-    rows = table.join(twice.hint("shuffle_hash"), "d1")
-    first = rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "start", "size")).alias("first")).where("copies > 1").select(
-        F.col("d1").alias("f1"), F.col("d2").alias("f2"), "copies", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
-    # The second half is compared by a difference, which leaves the first one the only key of the join and spares a shuffle.
-    hits = rows.join(first.hint("shuffle_hash"), (F.col("d1") == F.col("f1")) & (F.col("d2").bitwiseXOR(F.col("f2")) == 0)).select(
-        "doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "copies", "keep_id",
-        ((F.col("doc_id") == F.col("keep_id")) & (F.col("start") == F.col("keep_start"))).alias("kept"))
+    # Half a digest picks the rows that may repeat; only these are told apart by the whole one.
+    halves = shelf.put(table.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    least = max(LEAST_HOT, table.count() // HOT_KEYS)
+    hot = shelf.put(halves.where(F.col("n") > least).select("d1"))
+    one = F.min(F.struct("doc_id", "start", "size")).alias("first")
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), one).where("copies > 1").select(
+            F.col("d1").alias("f1"), F.col("d2").alias("f2"), "copies", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
+
+    def hits_of(rows: DataFrame, first: DataFrame) -> DataFrame:
+        # The second half is compared by a difference, which leaves the first one the only key of the join and spares a shuffle.
+        return rows.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2").bitwiseXOR(F.col("f2")) == 0)).select(
+            "doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "copies", "keep_id",
+            ((F.col("doc_id") == F.col("keep_id")) & (F.col("start") == F.col("keep_start"))).alias("kept"))
+
+    # All of it is partitioned by the first half, and both uses of the rows read the same columns, so they share one exchange.
+    rows = table.join(F.broadcast(hot), "d1", "left_anti").join(halves.where(F.col("n") <= least).select("d1").hint("shuffle_hash"), "d1")
+    hits = hits_of(rows, firsts(rows).hint("shuffle_hash"))
+    if not hot.isEmpty():
+        often = table.join(F.broadcast(hot), "d1", "left_semi")
+        first = shelf.put(firsts(often))  # about a row for each frequent half
+        hits = hits.unionByName(hits_of(often, shelf.small(first)))
     by = Window.partitionBy("doc_id", "keep_id", "kept")
     before = by.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     marked = hits.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1)))
@@ -160,3 +177,46 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, *, doc_id: str = "do
     return marked.groupBy("doc_id", "keep_id", "kept", "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("copies").alias("copies")).select(
         "doc_id", "start", "end", "keep_id", "copies", "kept")
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 4 * MIN_CHUNK) -> DataFrame:
+    """``docs`` with every repeated passage of ``least`` bytes or more taken out of the texts that do not keep it.
+
+    Whole UTF-8 characters are taken: one that a passage only touches stays.
+    All columns and rows pass through, whatever their names; a text that is one
+    passage becomes empty.  Null and empty texts and rows without an id stay as
+    they are, and so do repeated rows, which keep their passages in common
+    with themselves; a very long text is one row; an empty table stays empty.
+
+    Work: passages are few against texts; they are gathered by document, and
+    each text travels once to its own.
+    """
+    shelf = Shelf(spark)
+    (ident, cut) = fresh(docs, "ident", "cut")
+    spans = repeated_passages(spark, docs, doc_id=doc_id, text=text).where(~F.col("kept") & (F.col("end") - F.col("start") >= least) & (F.col("doc_id") != F.col("keep_id")))
+    cuts_ = shelf.put(spans.groupBy(F.col("doc_id").alias(ident)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut)))
+    joined = docs.join(cuts_.hint("shuffle_hash"), docs[doc_id] == F.col(ident), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(cut))
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = []
+            for t, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if t is not None and spans:
+                    raw, out, at = t.encode(), [], 0
+                    for x in spans:
+                        a, b = max(at, x["start"]), x["end"]
+                        while a < b and a < len(raw) and raw[a] & 0xC0 == 0x80:
+                            a += 1
+                        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+                            b -= 1
+                        if b > a:
+                            out.append(raw[at:a])
+                            at = b
+                    t = b"".join([*out, raw[at:]]).decode()
+                new.append(t)
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns[place] = pa.array(new, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

@@ -67,7 +67,7 @@ def test_secrets(spark):
                   (24, "api_key='EXAMPLE12345678'", "en", "d"), (None, "secret=q1w2e3r4t5y6", None, None), (25, LONG + " ghp_" + "a1" * 18, "en", "z")]
     got = {(r.doc_id, r.kind): r for r in secrets.scan(clashing(frame(spark, rows))).collect()}
     a = got[20, "aws_access_key"]
-    assert (a.occurrences, a.n_docs, a.n_repositories, a.n_owners, a.verdict) == (2, 2, 2, 2, "example")
+    assert (a.occurrences, a.n_docs, a.n_repositories, a.n_owners, a.verdict) == (2, 2, 2, 2, "shared")
     assert got[22, "assigned_secret"].verdict == "live" and got[22, "assigned_secret"].occurrences == 2 and got[22, "assigned_secret"].n_docs == 1
     assert got[23, "assigned_secret"].verdict == "weak" and got[24, "assigned_secret"].verdict == "example" and got[None, "assigned_secret"].verdict == "live"
     assert got[25, "github_token"].verdict == "live" and len(got) == 7
@@ -163,6 +163,62 @@ def test_repeated_passages(spark):
     assert {6, 7, 8} <= found and substring.repeated_passages(spark, frame(spark, [])).count() == 0
 
 
+def _brute_passages(rows):
+    """Passages from the brute-force chunks of all texts, by the definition."""
+    seen = defaultdict(list)
+    for i, t, _, _ in rows:
+        if i is not None and t is not None:
+            for start, raw in _brute_chunks(t):
+                seen[raw].append((i, start, start + len(raw)))
+    by = defaultdict(list)
+    for places in seen.values():
+        if len(places) > 1:
+            first = min(places)
+            for i, a, b in places:
+                by[i, first[0], (i, a) == first[:2]].append((a, b, len(places)))
+    out = []
+    for (i, keep, kept), spans in by.items():
+        spans.sort()
+        begin, end, most = spans[0]
+        for a, b, n in spans[1:]:
+            if a > end:
+                out.append((i, begin, end, keep, most, kept))
+                begin, end, most = a, b, n
+            end, most = max(end, b), max(most, n)
+        out.append((i, begin, end, keep, most, kept))
+    return Counter(out)
+
+
+def test_passages_like_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghé"), rng.integers(2, 8))) for _ in range(n))
+    shared = [prose(40) for _ in range(6)]
+    rows = [(i, prose(int(rng.integers(0, 40))) + shared[i % 6] + prose(int(rng.integers(5, 40))) + (shared[0] if i % 4 else ""), "en", "a") for i in range(40)]
+    rows += [(3, rows[3][1], "en", "a"), (90, "", "en", "a"), (91, None, "en", "a"), (None, shared[0], "en", "a"), (92, rows[5][1], "en", "b")]
+    df = clashing(frame(spark, rows))
+    want = _brute_passages(rows)
+    for hot, least in ((substring.HOT_KEYS, None), (10**9, 8)):  # once more with every half that repeats a few times counted as frequent
+        monkeypatch.setattr(substring, "HOT_KEYS", hot)
+        if least:
+            monkeypatch.setattr(substring, "LEAST_HOT", least)
+        got = substring.repeated_passages(spark, df).collect()
+        assert Counter((r.doc_id, r.start, r.end, r.keep_id, r.copies, r.kept) for r in got) == want
+
+
+def test_drop_passages(spark):
+    rng = np.random.default_rng(13)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghé"), rng.integers(2, 8))) for _ in range(n))
+    shared = prose(120)
+    rows = [(21, "one " + shared + " end", "en", "a"), (22, prose(50) + shared + prose(50), "en", "a"), (23, prose(100), "en", "a"), *ODD[:5], (None, shared, "en", "a")]
+    df = clashing(frame(spark, rows))
+    kept = substring.drop_passages(spark, df)
+    assert kept.columns == df.columns
+    got = {r.doc_id: r.text for r in kept.collect() if r.doc_id in (21, 22, 23)}
+    assert got[21] == rows[0][1] and got[23] == rows[2][1] and len(got[22].encode()) < len(rows[1][1].encode()) - len(shared.encode()) + 300
+    assert rows[1][1].startswith(got[22][:40]) and rows[1][1].endswith(got[22][-40:])
+    assert kept.count() == len(rows) and substring.drop_passages(spark, df.limit(0)).count() == 0
+
+
 # 4: toxicity
 
 def test_toxicity(spark):
@@ -266,24 +322,25 @@ def test_lm(spark):
     every = np.arange(len(model.rank))
     for i in (0, 4, 6):
         p = np.zeros(len(every))
-        for at, node, up, slot in maxent.decisions(model, every, np.repeat(hashes[:, i:i + 1], len(every), axis=1)):
+        for _, at, node, up, slot in maxent.decisions(model, every, np.repeat(hashes[i:i + 1], len(every), axis=0)):
             x = maxent._chance(model, node, slot).astype(float)
             p[at] += np.where(up, -np.log1p(np.exp(-x)), -np.log1p(np.exp(x)))
         assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
         assert maxent.log_probs(model, words)[i] == pytest.approx(p[bucket[i]], abs=1e-4)
 
     def brute(rank, row):
-        node, out = 0, 0.0
+        node, out, level, part = 0, 0.0, 0, len(model.slots) // maxent.LEVELS
         while node >= 0:
             up = rank >= model.split[node]
             key = (node + 1) * int(maxent._STEP) % 2**64
-            slots = [(((int(h) ^ key) * 0xD6E8FEB86659FD93 % 2**64 >> 32) * len(model.slots)) >> 32 for h in row]
+            slots = [(((int(h) ^ key) * 0xD6E8FEB86659FD93 % 2**64 >> 32) * part >> 32) + min(level, maxent.LEVELS - 1) * part for h in (row if level < maxent.SKIP_LEVELS else row[:2])]
+            level += 1
             x = float(model.bias[node]) + sum(float(model.slots[s]) for s in slots)
             out -= math.log1p(math.exp(-x if up else x))
             node = int((model.high if up else model.low)[node])
         return out
 
-    assert maxent.log_probs(model, words) == pytest.approx([brute(model.rank[bucket[i]], hashes[:, i]) for i in range(len(bucket))], abs=1e-4)
+    assert maxent.log_probs(model, words) == pytest.approx([brute(model.rank[bucket[i]], hashes[i]) for i in range(len(bucket))], abs=1e-4)
     odd = maxent.score(spark, clashing(frame(spark, ODD)), model).collect()
     assert len(odd) == len(ODD) and all((r.perplexity is None) == (r.n_words == 0) for r in odd)
     empty = maxent.train(spark, frame(spark, []))
@@ -298,10 +355,10 @@ def test_lm_gradient():
     rng = np.random.default_rng(6)
     words = Words(pa.array([" ".join(rng.choice(list("abcdefg"), 60)) for _ in range(20)]))
     model = maxent.grow_tree(np.bincount(maxent._buckets(words, 64), minlength=64))
-    model.slots = rng.normal(0, 0.3, 40).astype(np.float32)
-    sums = {k: np.zeros(40) for k in ("expected", "seen", "upper")}
+    model.slots = rng.normal(0, 0.3, 10 * maxent.LEVELS).astype(np.float32)
+    sums = {k: np.zeros(len(model.slots)) for k in ("expected", "seen", "upper")}
     maxent.gather(model, words, sums)
-    for k in range(0, 40, 7):
+    for k in range(0, len(model.slots), 7):
         both = []
         for h in (0.01, -0.01):
             model.slots[k] += h

@@ -45,5 +45,32 @@ def test_assigned_values_are_whole(spark):
     got = scanned(spark, [(i, f, f"s{i}") for i, f in enumerate(forms)])
     assert {i: r.secret_hash for (i, _), r in got.items()} == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate(values) if v}
     assert {r.verdict for r in got.values()} == {"live"}
-    long = scanned(spark, [(1, 'token = "' + "ab\\\"1" * 200_000 + '"', "a"), (2, "token = " * 20_000, "a"), (3, 'secret="' + "x1" * 200_000, "b")])
+    # The SQL reads every one of these forms alike.
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame([(i, f, "en", f"s{i}") for i, f in enumerate(forms)], columns=["doc_id", "text", "lang", "source"])  # noqa: F841
+    sql = {(r[0], r[1]): r[2:] for r in duckdb.sql(secrets.scan_sql()).fetchall()}
+    assert sql == {k: tuple(r)[2:] for k, r in got.items()}
+    long = scanned(spark, [(1, 'token = "' + "ab\\\"1" * 200_000 + '"', "a"), (2, "token = " * 20_000, "a"), (4, "-----BEGIN PRIVATE KEY-----" + ("\n" + "aB3/" * 16) * 20_000, "a"), (5, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "a"), (3, 'secret="' + "x1" * 200_000, "b")])
     assert {i for i, _ in long} >= {1, 3}
+
+
+def test_spread_tells_copies_from_leaks(spark):
+    rows = [(i, f"token = v4lue{n}abcdef" + "z" * n, f"s{k}") for n in (1, 2, secrets.WIDE_OWNERS - 1, secrets.WIDE_OWNERS) for k in range(n) for i in [100 * n + k]]
+    got = scanned(spark, rows)
+    assert {r.n_owners: r.verdict for r in got.values()} == {1: "live", 2: "shared", secrets.WIDE_OWNERS - 1: "shared", secrets.WIDE_OWNERS: "example"}
+
+
+def test_long_tokens_are_whole(spark):
+    import hashlib
+
+    slack, stripe = "xox" + "b-" + "a1" * 60, "sk_" + "live_" + "b2" * 60
+    got = scanned(spark, [(1, slack, "a"), (2, stripe, "a"), (3, f"token={slack}", "a")])
+    assert {r.secret_hash for r in got.values()} == {hashlib.sha256(v.encode()).hexdigest() for v in (slack, stripe)}
+
+
+def test_assigned_private_key(spark):
+    b = "\n".join(pem("b"))
+    got = scanned(spark, [(1, b, "a"), (2, f'secret = "{b}"', "a"), (3, "my_secret: " + b.replace("\n", "\\n"), "a")])
+    assert len({r.secret_hash for r in got.values()}) == 1 and {k for _, k in got} == {"private_key"}
