@@ -33,7 +33,7 @@ The number of buckets and of slots follows the size of the corpus.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from .textkit import Words, mix64, slices
 
 ROUNDS = 2
 CLASSES, DIRECTIONS, TURNS = 16, 4, 2  #: classes, directions of co-occurrence they are found in, rounds of averaging
-COMMON, SEEDS = 2048, 256  #: most frequent buckets, from whose company the directions start, and from which the first centres are taken
+SEEDS = 256  #: most frequent buckets, from which the first centres are taken
 RATE, PRIOR = 0.4, 0.6  #: length of a step; counts that each slot has beforehand for either side
 BUCKET_SHARE, SLOT_SHARE, SLOT_POWER = 32, 16, 0.6  #: buckets for the square root of the corpus' bytes; slots for their power 0.6
 SKIP_LEVELS = 6
@@ -59,6 +59,13 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 1 << 12  #: directions are kept as whole numbers of this part
 
 
+class _Kept(dict):
+    """Kept by each worker for itself: it is empty again wherever it is sent."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
 @dataclass
 class Model:
     """``rank``: place of each bucket by falling frequency.  Node k of the tree parts the ranks below ``split[k]`` from those at or above it;
@@ -70,10 +77,17 @@ class Model:
     high: np.ndarray
     bias: np.ndarray
     slots: np.ndarray
+    _walk: tuple | None = field(default=None, init=False, repr=False)
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray]:
+        """A key of each node and the nodes after it (low, high) side by side."""
+        if self._walk is None:
+            self._walk = np.arange(1, len(self.split) + 1, dtype=np.uint64) * _STEP, np.stack([self.low, self.high], 1).ravel()
+        return self._walk
 
     def state(self) -> dict[str, np.ndarray]:
         """Plain arrays, which travel without this module."""
-        return dict(self.__dict__)
+        return {k: v for k, v in self.__dict__.items() if k != "_walk"}
 
 
 def grow_tree(counts: np.ndarray, of: np.ndarray | None = None) -> Model:
@@ -113,12 +127,9 @@ def grow_tree(counts: np.ndarray, of: np.ndarray | None = None) -> Model:
     return Model(rank, split, low, high, bias, np.zeros(0, np.float32))
 
 
-def start_directions(counts: np.ndarray) -> np.ndarray:
-    """(buckets, DIRECTIONS) integers: random signs for the most frequent buckets, 0 for all others."""
-    out = np.zeros((len(counts), DIRECTIONS), np.int32)
-    top = np.lexsort((np.arange(len(counts)), -counts))[:COMMON]
-    out[top] = np.where(np.random.default_rng(5).random((len(top), DIRECTIONS)) < 0.5, -_UNIT, _UNIT) * (counts[top] > 0)[:, None]
-    return out
+def start_directions(buckets: int) -> np.ndarray:
+    """(buckets, DIRECTIONS) integers: random signs."""
+    return np.where(np.random.default_rng(5).random((buckets, DIRECTIONS)) < 0.5, -_UNIT, _UNIT).astype(np.int32)
 
 
 def company(table: np.ndarray, words: Words, total: np.ndarray) -> None:
@@ -193,14 +204,15 @@ def decisions(model: Model, bucket: np.ndarray, hashes: np.ndarray) -> Iterator[
     node = np.zeros(len(at), np.int32)
     part = len(model.slots) // LEVELS
     size, half, level = np.uint64(part), np.uint64(32), 0
+    few, (keys, after) = np.ascontiguousarray(hashes[:, :2]), model.walk()
     while len(at):
         base = min(level, LEVELS - 1) * part
         next_at, next_node = [], []
         for c in range(0, len(at), CHUNK):
             a, n = at[c:c + CHUNK], node[c:c + CHUNK]
             up = rank[a] >= model.split[n]
-            x = hashes[a] if level < SKIP_LEVELS else hashes[a, :2]
-            x ^= ((n.astype(np.uint64) + np.uint64(1)) * _STEP)[:, None]
+            x = hashes[a] if level < SKIP_LEVELS else few[a]
+            x ^= keys[n][:, None]
             x *= np.uint64(0xD6E8FEB86659FD93)
             x >>= half
             x *= size
@@ -208,7 +220,7 @@ def decisions(model: Model, bucket: np.ndarray, hashes: np.ndarray) -> Iterator[
             slot = x.view(np.int64)
             slot += base
             yield level, a, n, up, slot
-            n = np.where(up, model.high[n], model.low[n])
+            n = after[2 * n + up]
             go = n >= 0
             next_at.append(a[go]), next_node.append(n[go])
         at, node, level = np.concatenate(next_at), np.concatenate(next_node), level + 1
@@ -277,7 +289,7 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
     about as likely as another.  ``shape`` (buckets, slots) replaces what follows from the
     corpus' size, and ``tasks`` the number of tasks.  Columns other than the text are ignored.
 
-    Work: one pass counts the buckets, ``TURNS`` find their company, then the
+    Work: ``TURNS`` passes count the buckets and find their company, then the
     rounds fit; all read the texts where they lie.  What a task sends grows with the table, so tasks read
     TASK_BYTES a slot or more; it is combined by piece in the shuffle.  The
     driver holds the table (8 bytes a slot and sum) and broadcasts 4 bytes a
@@ -322,23 +334,36 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
         shelf.drop(merged)
         return out
 
-    def count(words: Words, sums: dict[str, np.ndarray]) -> None:
-        np.add.at(sums["counts"], _buckets(words, buckets), 1)
-
-    counts = total(rows, lambda: {"counts": np.zeros(buckets, np.int64)}, count)["counts"]
-    points = start_directions(counts)
+    points, counts = start_directions(buckets), None
     for _ in range(TURNS):
         shared = spark.sparkContext.broadcast(points)
-        zeros = lambda: {f"d{d}": np.zeros(buckets, np.int64) for d in range(DIRECTIONS)}
-        found = total(rows, zeros, lambda words, sums: company(shared.value, words, [sums[f"d{d}"] for d in range(DIRECTIONS)]))
-        points = next_directions(np.stack([found[f"d{d}"] for d in range(DIRECTIONS)]), counts)
+        names = [f"d{d}" for d in range(DIRECTIONS)]
+
+        def look(words: Words, sums: dict[str, np.ndarray]) -> None:
+            company(shared.value, words, [sums[d] for d in names])
+            if "counts" in sums:
+                sums["counts"] += np.bincount(_buckets(words, buckets), minlength=buckets)
+
+        wanted = names if counts is not None else [*names, "counts"]
+        found = total(rows, lambda: {k: np.zeros(buckets, np.int64) for k in wanted}, look)
+        counts = found.get("counts", counts)
+        points = next_directions(np.stack([found[d] for d in names]), counts)
         shared.unpersist()
     model = grow_tree(counts, cluster(points, counts))
+    built: dict[int, Model] = _Kept()
+
+    def own(shared) -> Model:
+        """The broadcast model, put together once in a task."""
+        if id(shared.value) not in built:
+            built.clear()
+            built[id(shared.value)] = Model(**shared.value)
+        return built[id(shared.value)]
+
     model.slots = np.zeros(size, np.float32)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model.state())
         share = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
-        sums = total(share, lambda: {x: np.zeros(size) for x in ("expected", "seen", "upper")}, lambda words, sums: gather(Model(**shared.value), words, sums))
+        sums = total(share, lambda: {x: np.zeros(size) for x in ("expected", "seen", "upper")}, lambda words, sums: gather(own(shared), words, sums))
         model.slots = model.slots.copy()
         _step(model.slots, **sums)
         shared.unpersist()
