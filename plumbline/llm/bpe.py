@@ -68,9 +68,11 @@ def encode(spark: SparkSession, docs: DataFrame, *, rank_file: str = RANK_FILE,
     Returns ``doc_id``, ``token_ids`` (array<int>), ``n_tokens``, ``n_bytes``
     (UTF-8) and ``round_trip`` (the tokens' raw bytes equal the text's bytes).
     A null text gives null in all four; an empty text gives no tokens and
-    true.  Special-token strings in a text are ordinary text.  Row order,
-    repeated rows and ids pass through; further columns are ignored.  One
-    narrow map: nothing is shuffled.
+    true.  Very long texts are encoded whole, piece by piece.  Special-token
+    strings in a text are ordinary text.  Ids of any type, null and repeated
+    ones too, pass through row by row; an empty table gives an empty result;
+    further columns are ignored, whatever their names.  One narrow map:
+    nothing is shuffled.
     """
     shared = spark.sparkContext.broadcast(read_ranks(rank_file))
     schema = pa.schema([("doc_id", docs_type(docs, doc_id)), ("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int32()),
@@ -104,7 +106,9 @@ def decode(spark: SparkSession, tokens: DataFrame, *, rank_file: str = RANK_FILE
     """Decode token ids to raw bytes: ``doc_id``, ``raw`` (binary) and ``text``.
 
     ``text`` is null where the bytes are not valid UTF-8 (a token sequence may
-    end inside a character); a null list gives nulls; an unknown id raises.
+    end inside a character); a null list gives nulls, an empty one an empty
+    text; an unknown token raises.  Ids pass through row by row; an empty
+    table gives an empty result; further columns are ignored.
     """
     shared = spark.sparkContext.broadcast(read_ranks(rank_file))
 

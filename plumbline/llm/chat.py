@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-                 start: str = "<|", mid: str = "|>\n", end: str = "<|end|>\n", joint: str = "\n") -> DataFrame:
+                 start: str = "<|", mid: str = "|>\n", end: str = "<|end|>\n", joint: str = "\n", escape: str | None = None) -> DataFrame:
     """One formatted string per conversation: ``conv_id``, ``n_turns``, ``n_messages``, ``chat``.
 
     The turns of a conversation are gathered as structs and sorted by turn
@@ -15,15 +15,21 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     message prints as ``start role mid text end``.  A null role counts as
     ``unknown``; turns whose text is null are dropped; an empty text stays.  A
     conversation without any remaining turn has no row.  Repeated rows are
-    turns like any other; a null id is a conversation of its own; further
-    columns are ignored.
+    turns like any other; a null id is a conversation of its own; ids of any
+    type; very long texts are kept whole; an empty table gives an empty
+    result; further columns are ignored, whatever their names.
+
+    Marks inside a text print as they are, so a text that holds ``end`` and
+    ``start`` looks like a turn of its own; with ``escape`` every ``start``
+    inside a text or role is replaced by it.
 
     One shuffle by conversation, with map-side gathering; sorting, merging and
     printing are array expressions, so no Python worker starts.
     """
+    safe = lambda c: c if escape is None else F.replace(c, F.lit(start), F.lit(escape))
     rows = turns.where(F.col(text).isNotNull()).select(
         F.col(conv_id).alias("conv_id"),
-        F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("unknown")).alias("r"), F.col(text).alias("x")).alias("turn"))
+        F.struct(F.col(turn).alias("t"), safe(F.coalesce(F.col(role), F.lit("unknown"))).alias("r"), safe(F.col(text)).alias("x")).alias("turn"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     # Places where the role changes, then one slice of the sorted turns from each place to the next: linear in the turns.
     places = F.filter(F.sequence(F.lit(1), F.size("turns")),

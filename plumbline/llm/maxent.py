@@ -51,7 +51,7 @@ BUCKET_SHARE, SLOT_SHARE, SLOT_POWER = 32, 16, 0.6  #: buckets for the square ro
 SKIP_LEVELS = 6
 LIMIT = 16.0  #: log odds are kept within this, so a word's probability never underflows
 LEVELS = 16  #: parts of the table; deeper levels share the last one
-SLICE, CHUNK = 2 << 20, 1 << 13  #: bytes of text worked on together, words in one step
+SLICE, CHUNK = 1 << 20, 1 << 13  #: bytes of text worked on together, words in one step
 PIECE = 1 << 14  #: numbers that travel together
 TASK_BYTES = 64  #: a task reads this many bytes of text or more for each slot, so that what it sends is a small share of what it reads
 _OFFSETS = tuple(np.uint64(x) for x in (0x1B873593A5A5A5A5, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87))
@@ -302,6 +302,8 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
 
     tasks = tasks or max(spark.sparkContext.defaultParallelism, n_bytes // (TASK_BYTES * size))
 
+    built: dict[int, Model] = _Kept()
+
     def total(rows: DataFrame, make: Callable[[], dict[str, np.ndarray]], add: Callable[[Words, dict[str, np.ndarray]], None]) -> dict[str, np.ndarray]:
         """Sums over the texts of ``rows``: ``make`` gives a task's zeros, ``add`` adds some texts to them."""
         kinds = {k: v.dtype for k, v in make().items()}
@@ -314,7 +316,10 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
                     words = Words(part.column(0))
                     if len(words.hash):
                         add(words, sums)
-            for k, v in sums.items():
+            built.clear()  # what is sent needs no model
+            words = None
+            for k in list(sums):
+                v = sums.pop(k)
                 for at in range(0, len(v), PIECE):
                     if v[at:at + PIECE].any():
                         yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at]), pa.array([v[at:at + PIECE].astype(sent[k]).tobytes()], pa.binary())], names=["kind", "at", "raw"])
@@ -350,7 +355,6 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
         points = next_directions(np.stack([found[d] for d in names]), counts)
         shared.unpersist()
     model = grow_tree(counts, cluster(points, counts))
-    built: dict[int, Model] = _Kept()
 
     def own(shared) -> Model:
         """The broadcast model, put together once in a task."""

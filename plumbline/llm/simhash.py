@@ -229,9 +229,10 @@ def near_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id",
     fewer (every such pair is found); a group is a connected component, and
     its smallest id stays.  Documents without a partner have no row, nor have
     documents without a word (null, empty, signs only) or without an id.
-    Rows that repeat an id count as one document with all their texts.  Ties
-    cannot arise; an empty table gives an empty result; further columns are
-    ignored.
+    Rows that repeat an id count as one document with all their texts.  Ids
+    are integers of any width; others raise.  Very long texts are read whole.
+    Ties cannot arise; an empty table gives an empty result; further columns
+    are ignored, whatever their names.
 
     Texts are read once, in a narrow map, and never shuffled: 24 bytes a
     document go on.  Equal codes collapse to one before the join.  Codes are
@@ -313,7 +314,10 @@ def _join_tiles(one: DataFrame, m: int, width: int, small: int, budget: int, lev
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` without the rows of near-duplicate groups whose id is not the group's smallest.
 
-    All columns pass through; documents that :func:`near_groups` leaves out stay.
+    All columns pass through, whatever their names; documents that
+    :func:`near_groups` leaves out (null, empty and wordless texts, rows
+    without an id, singles) stay.  Rows that repeat an id share its fate; an
+    empty table stays empty.
     """
     shelf = Shelf(spark)
     (gone,) = fresh(docs, "gone")

@@ -135,8 +135,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, *, doc_id: str = "do
     and some gaps, is found; shorter repeats are not looked for.  Null and
     empty texts, and rows without an id, have no passages; a repeated row
     repeats all its chunks (its two copies share an id, and neither stands
-    first by itself, so both are kept).  Ties cannot arise; an empty table
-    gives an empty result; further columns are ignored.
+    first by itself, so both are kept).  Ids are integers of any width; others
+    raise.  Very long texts are cut whole.  Ties cannot arise; an empty table
+    gives an empty result; further columns are ignored, whatever their names.
 
     Work: texts are read once in a narrow map; 32 bytes a chunk go on.  Half
     digests are counted with map-side combining; the chunks are then moved
