@@ -15,12 +15,11 @@ from typing import Any
 
 from pyspark.sql import Column, functions as F, types as T
 
+from ..functions.aggregates import approx_distinct
 from ..functions.cells import Cell, count_if, every, greatest, least, number_format, total
 
 DATE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSZ"
 MAX_INT, MIN_INT, MAX_DOUBLE, NAN = 2147483647.0, -2147483648.0, 1.7976931348623157e308, float("nan")
-#: Working range of Spark's approximate distinct count.
-RSD_RANGE = (0.005, 0.39)
 
 
 @dataclass
@@ -174,17 +173,17 @@ def _sum(cells: list[Cell], m: Metric) -> Single:
 
 
 def rsd(params: dict) -> float:
-    return min(RSD_RANGE[1], max(RSD_RANGE[0], float(params.get("accuracyError", 0.01))))
+    return float(params.get("accuracyError", 0.01))
 
 
 def _approx_distinct(cells: list[Cell], m: Metric) -> Single:
-    return Single(F.approx_count_distinct(cells[0].text, rsd(m.params)), 0.0, cells[0].col.isNull(), f"Column {cells[0].name} is null.")
+    return Single(approx_distinct(cells[0].text, rsd(m.params)), 0.0, cells[0].col.isNull(), f"Column {cells[0].name} is null.")
 
 
 def _approx_sequence(cells: list[Cell], m: Metric) -> Single:
     n = cells[0].integer
     whole = (F.max(n) - F.min(n)).cast("double") / float(m.params.get("increment", 1)) + 1
-    return Single(F.try_divide(F.approx_count_distinct(n, rsd(m.params)).cast("double"), whole), 0.0, n.isNull(), f"Column {cells[0].name} is not an integer.")
+    return Single(F.try_divide(approx_distinct(n, rsd(m.params)).cast("double"), whole), 0.0, n.isNull(), f"Column {cells[0].name} is not an integer.")
 
 
 def _bounds(c: Cell, p: dict, outside: bool) -> Column:

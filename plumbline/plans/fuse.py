@@ -79,29 +79,21 @@ def top_n(df: DataFrame, m: Metric) -> DataFrame:
     cell = cells(df, m.columns)[0]
     n = int(m.params.get("targetNumber", 10))
     rows = df.select(cell.text.alias("value")).where("value is not null")
-    name = lambda i: F.concat(F.lit("TOP_N_"), i.cast("string"))
     if m.params.get("mode", "exact") == "approx":
         cap = max(n, int(m.params.get("maxCapacity", 100)))
         got = rows.agg(F.expr(f"approx_top_k(value, {n}, {cap})").alias("top"), F.count(F.lit(1)).alias("total"))
-        got = got.select("total", F.posexplode("top").alias("i", "t")).select(
-            F.lit(m.id).alias("metric_id"), name(F.col("i") + 1).alias("metric_name"), F.try_divide(F.col("t.count").cast("double"), F.col("total").cast("double")).alias("result"),
-            F.col("t.item").alias("additional_result"))
-        return _or_empty(got, m)
-    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.orderBy(F.desc("n"), "value").limit(n)
-    ranked = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))).alias("top"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    got = ranked.crossJoin(F.broadcast(total)).select("total", F.posexplode("top").alias("i", "t")).select(  # one row on either side
-        F.lit(m.id).alias("metric_id"), name(F.col("i") + 1).alias("metric_name"), F.try_divide((-F.col("t.n")).cast("double"), F.col("total").cast("double")).alias("result"),
-        F.col("t.value").alias("additional_result"))
-    return _or_empty(got, m)
-
-
-def _or_empty(got: DataFrame, m: Metric) -> DataFrame:
-    """One row ("", NaN) if there is no value at all."""
-    none = got.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
-        F.lit(m.id).alias("metric_id"), F.lit("TOP_N_1").alias("metric_name"), F.lit(float("nan")).alias("result"), F.lit("").alias("additional_result"))
-    return got.unionByName(none)
+        got = got.select("total", F.transform("top", lambda t: F.struct(t["count"].alias("n"), t["item"].alias("value"))).alias("top"))
+    else:
+        # The counts feed both the best and their total, and are computed once.
+        counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.orderBy(F.desc("n"), "value").limit(n).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "value"))).alias("top"))
+        total = counts.agg(F.sum("n").alias("total"))
+        got = best.crossJoin(F.broadcast(total)).select("total", F.transform("top", lambda t: F.struct((-t["minus"]).alias("n"), t["value"].alias("value"))).alias("top"))  # one row on either side
+    # Without any value there is one row: "" and NaN.
+    return got.select("total", F.posexplode_outer("top").alias("i", "t")).select(
+        F.lit(m.id).alias("metric_id"), F.concat(F.lit("TOP_N_"), (F.coalesce("i", F.lit(0)) + 1).cast("string")).alias("metric_name"),
+        F.when(F.col("t").isNull(), F.lit(float("nan"))).otherwise(F.try_divide(F.col("t.n").cast("double"), F.col("total").cast("double"))).alias("result"),
+        F.coalesce("t.value", F.lit("")).alias("additional_result"))
 
 
 def results(df: DataFrame, metrics: list[Metric]) -> DataFrame:
@@ -127,37 +119,44 @@ def _row_data(df: DataFrame, names: list[str]) -> Column:
     return F.create_map(*both) if both else F.create_map().cast("map<string,string>")
 
 
-def errors(df: DataFrame, metrics: list[Metric], key_fields: list[str] | None = None, dump_size: int = 10000) -> DataFrame:
-    """Failing rows: ``metric_id``, ``status``, ``message``, ``row_data`` (key fields and metric columns as text), at most ``dump_size`` a metric.
+def _failure(df: DataFrame, m: Metric, names: list[str], message: str) -> Column:
+    return F.struct(F.lit(m.id).alias("metric_id"), F.lit("Failure").alias("status"), F.lit(message).alias("message"), _row_data(df, names).alias("row_data"))
 
-    Which rows are kept is fixed: the first by their data.  All single-pass
-    metrics share one scan; of a group of equal tuples all but one row fail
-    the metric of duplicates, and only all-null tuples fail that of distinct
-    values.  The cut runs within each task before rows are shuffled.
-    """
-    keys = list(key_fields or [])
-    found = []
-    ones = [m for m in metrics if m.kind in SINGLE and m.kind != "rowCount"]
-
-    def struct(m: Metric, names: list[str], message: str, of: DataFrame = df) -> Column:
-        return F.struct(F.lit(m.id).alias("metric_id"), F.lit("Failure").alias("status"), F.lit(message).alias("message"), _row_data(of, [*keys, *names]).alias("row_data"))
 
+def failing(df: DataFrame, metrics: list[Metric], keys: list[str], more: dict[str, Column]) -> DataFrame | None:
+    """Failing rows of all metrics that a row fails by itself, in one scan, with ``more`` columns; None if there is no such metric."""
     conditions = []
-    for m in ones:
-        cs = cells(df, m.columns)
-        got = single(m.kind, cs, m)
-        conditions.append(F.when(got.fails, struct(m, [c.name for c in cs], got.message)))
     for m in metrics:
         cs = cells(df, m.columns) if m.columns else []
         names = [c.name for c in cs]
-        if m.kind == "distinctValues":
-            conditions.append(F.when(every([c.col.isNull() for c in cs]), struct(m, names, f"All values of columns {names} are null.")))
+        if m.kind in SINGLE and m.kind != "rowCount":
+            got = single(m.kind, cs, m)
+            fails, message = got.fails, got.message
+        elif m.kind == "distinctValues":
+            fails, message = every([c.col.isNull() for c in cs]), f"All values of columns {names} are null."
         elif m.kind == "sequenceCompleteness":
-            conditions.append(F.when(cs[0].integer.isNull(), struct(m, names, f"Column {names[0]} is not an integer.")))
+            fails, message = cs[0].integer.isNull(), f"Column {names[0]} is not an integer."
         elif m.kind == "topN":
-            conditions.append(F.when(cs[0].col.isNull(), struct(m, names, f"Column {names[0]} is null.")))
-    if conditions:
-        found.append(df.select(F.explode(F.filter(F.array(*conditions), lambda e: e.isNotNull())).alias("e")).select("e.*"))
+            fails, message = cs[0].col.isNull(), f"Column {names[0]} is null."
+        else:
+            continue
+        conditions.append(F.when(fails, _failure(df, m, [*keys, *names], message)))
+    if not conditions:
+        return None
+    return df.select(*[c.alias(k) for k, c in more.items()], F.explode(F.filter(F.array(*conditions), lambda e: e.isNotNull())).alias("e")).select(*more, "e.*")
+
+
+def errors(df: DataFrame, metrics: list[Metric], key_fields: list[str] | None = None, dump_size: int = 10000) -> DataFrame:
+    """Failing rows: ``metric_id``, ``status``, ``message``, ``row_data`` (key fields and metric columns as text), at most ``dump_size`` a metric.
+
+    Which rows are kept is fixed: the first by their data.  All single-pass
+    metrics share one scan; of a group of equal tuples all but one row fail
+    the metric of duplicates, and only all-null tuples fail that of distinct
+    values.  The cut runs within each task before rows are shuffled, see :func:`first_rows`.
+    """
+    keys = list(key_fields or [])
+    rows_ = failing(df, metrics, keys, {})
+    found = [] if rows_ is None else [rows_]
     for m in metrics:
         if m.kind != "duplicateValues":
             continue
@@ -167,14 +166,36 @@ def errors(df: DataFrame, metrics: list[Metric], key_fields: list[str] | None =
         rows = df.where(~every([c.col.isNull() for c in cs])).select(*[cells(df, [n])[0].col.alias(n) for n in need])
         nth = F.row_number().over(Window.partitionBy(*[c.col for c in cells(rows, names)]).orderBy(*[c.text for c in cells(rows, need)]))
         again = rows.withColumn("__nth", nth).where("__nth > 1")
-        found.append(again.select(struct(m, names, f"Values of columns {names} are duplicates.", again).alias("e")).select("e.*"))
+        found.append(again.select(_failure(again, m, [*keys, *names], f"Values of columns {names} are duplicates.").alias("e")).select("e.*"))
     if not found:
         return df.sparkSession.createDataFrame([], "metric_id string, status string, message string, row_data map<string,string>")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    rank = F.row_number().over(Window.partitionBy("metric_id").orderBy(F.to_json("row_data")))
-    return out.withColumn("rank", rank).where(F.col("rank") <= dump_size).drop("rank")
+    return first_rows(out, ["metric_id"], F.to_json("row_data"), dump_size)
+
+
+SALTS = 64  #: parts that the rows of a group are first cut in
+_CUT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def first_rows(df: DataFrame, by: list[str], order: Column, n: int) -> DataFrame:
+    """The first ``n`` rows of each group.
+
+    Cut three times to ``n`` rows: within each task before anything is
+    shuffled, within each of SALTS parts of a group, and at last for the whole
+    group, of which then SALTS * n rows meet in one task at most.  Spark
+    places the first cut for limits up to a threshold, which is raised to ``n``.
+    """
+    names = [f"__{x}" for x in ("order", "salt", "rank")]
+    spark = df.sparkSession
+    if int(spark.conf.get(_CUT)) < n < 1 << 24:
+        spark.conf.set(_CUT, str(n))
+    out = df.withColumn(names[0], order).withColumn(names[1], F.pmod(F.xxhash64(names[0]), F.lit(SALTS)))
+    for keys in ([*by, names[1]], by):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(names[0]))
+        out = out.withColumn(names[2], rank).where(F.col(names[2]) <= n).drop(names[2])
+    return out.drop(*names[:2])
 
 
 def error_counts(df: DataFrame, metrics: list[Metric]) -> DataFrame:

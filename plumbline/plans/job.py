@@ -76,7 +76,7 @@ class Engine:
     def frames(self, job: Job, given: dict[str, DataFrame] | None = None) -> tuple[dict[str, R.Source], dict[str, S.Schema]]:
         """All sources of a job and its schemas."""
         registries = {i: c for i, c in job.connections.items() if c["kind"] == "schemaRegistry"}
-        if self.settings.get("validateConnections", False):
+        if self.settings.get("validateConnections", True):
             for c in job.connections.values():
                 CN.validate(self.spark, c)
         allow = bool(self.settings.get("allowSqlQueries", True))
@@ -194,9 +194,14 @@ class Engine:
             rs.tables["results_metric_error"] = self.spark.createDataFrame([], schema)
         else:
             row = F.to_json("row_data")
+            hidden = self.settings.get("encryption", {})
+            if hidden.get("encryptErrorData", False):  # hashes are of the plain row, so that equal rows are still told by them
+                plain, row = row, secrets.encrypted(row, hidden["secret"])
+            else:
+                plain = row
             got = rs.errors.select(
                 F.lit(job.id).alias("job_id"), "metric_id", "source_id", "source_key_fields", "metric_columns", "status", "message", row.alias("row_data"),
-                F.md5(F.concat("metric_id", "status", "message", row)).alias("error_hash"), F.lit(rs.reference).alias("reference_date"), F.lit(rs.execution).alias("execution_date"))
+                F.md5(F.concat("metric_id", "status", "message", plain)).alias("error_hash"), F.lit(rs.reference).alias("reference_date"), F.lit(rs.execution).alias("execution_date"))
             rs.tables["results_metric_error"] = got.dropDuplicates(["error_hash"]).persist()
         failed = [c.check_id for c in rs.checks if c.status != C.SUCCESS]
         failed_load = [c.check_id for c in rs.load_checks if c.status != C.SUCCESS]

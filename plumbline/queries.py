@@ -9,9 +9,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.formula import Formula
-from .operators import checks as C, virtual as V
+from .operators import checks as C, trend as TR, virtual as V
 from .operators.metrics import Metric
 from .plans import fuse
+from .plans.spec import parse
+from .sources.shared import scratch
 from .streaming import windows as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,28 +179,6 @@ _virtual("virtual_aggregate", ["lineitem"], {"kind": "aggregate", "groupBy": ["l
 
 
 def _join(how: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {"bought": table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("k"), "o_orderkey"),
-                  "buyers": table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name")}
-        got = V.derive_all(spark, [{"id": "j", "kind": "join", "parentSources": ["bought", "buyers"], "joinBy": ["k"], "joinType": how}], frames)["j"]
-        return got.fillna({c: v for c, v in (("o_orderkey", -1), ("c_name", "none")) if c in got.columns})
-
-    QUERIES[f"virtual_join_{how.lower()}"] = run
-    a, b = "(SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey % 3 = 0) a", "(SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 2 = 0) b"
-    low = how.lower()
-    if low in ("semi", "leftsemi", "anti", "leftanti"):
-        ORACLE[f"virtual_join_{low}"] = f"SELECT k, o_orderkey FROM {a} WHERE k {'NOT ' if 'anti' in low else ''}IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)"
-    else:
-        word = {"outer": "FULL", "full": "FULL", "fullouter": "FULL", "left": "LEFT", "leftouter": "LEFT", "right": "RIGHT", "rightouter": "RIGHT"}.get(low, "INNER")
-        ORACLE[f"virtual_join_{low}"] = f"SELECT k, coalesce(o_orderkey, -1) AS o_orderkey, coalesce(c_name, 'none') AS c_name FROM {a} {word} JOIN {b} USING (k)"
-
-
-for _how in ("inner", "outer", "cross", "full", "right", "left", "semi", "anti", "fullOuter", "rightOuter", "leftOuter", "leftSemi", "leftAnti"):
-    _join(_how)
-
-
-def _join_whole(how: str) -> None:
-    """The same joins over all rows of both tables."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames = {"bought": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey"),
                   "buyers": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")}
@@ -206,7 +186,7 @@ def _join_whole(how: str) -> None:
         return got.fillna({c: v for c, v in (("o_orderkey", -1), ("c_name", "none")) if c in got.columns})
 
     low = how.lower()
-    name = f"virtual_join_whole_{low}"
+    name = f"virtual_join_{low}"
     QUERIES[name] = run
     a, b = "(SELECT o_custkey AS k, o_orderkey FROM orders) a", "(SELECT c_custkey AS k, c_name FROM customer) b"
     if low in ("semi", "leftsemi", "anti", "leftanti"):
@@ -217,7 +197,7 @@ def _join_whole(how: str) -> None:
 
 
 for _how in ("inner", "outer", "cross", "full", "right", "left", "semi", "anti", "fullOuter", "rightOuter", "leftOuter", "leftSemi", "leftAnti"):
-    _join_whole(_how)
+    _join(_how)
 
 # Composed metrics and checks, over columns of one result row.
 
@@ -278,58 +258,85 @@ ORACLE["checks_load"] = "SELECT * FROM (VALUES ('exact', 'Success'), ('least', '
 # Trends: the history is the daily value of events; each day is judged by the days before it.
 
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("reference_date")).agg(F.count(F.lit(1)).cast("double").alias("result"))
+def _hourly(spark: SparkSession, sf_dir: str) -> list[tuple[datetime, float]]:
+    """The history that the trend queries work on: a metric result an hour, latest first, as a storage gives it."""
+    rows = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("reference_date")).agg(F.count(F.lit(1)).cast("double").alias("result"))
+    return sorted(((r[0], r[1]) for r in rows.collect()), reverse=True)
 
 
 _HOURLY = "SELECT date_trunc('hour', ts) AS reference_date, count(*)::DOUBLE AS result FROM events GROUP BY 1"
+_AT = datetime(2030, 1, 1)
 
 
 def _trend_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _daily(spark, sf_dir)
-    at = F.unix_micros("reference_date").cast("double") / 1000
-    p = lambda q: F.percentile("result", F.lit(q))
-    got = d.agg(F.avg("result").alias("avg"), F.stddev_samp("result").alias("std"), F.min("result").alias("min"), F.max("result").alias("max"), F.sum("result").alias("sum"), p(0.5).alias("median"),
-                p(0.25).alias("first_quartile"), p(0.75).alias("third_quartile"), p(0.9).alias("quantile"), F.regr_slope("result", at / 3600000).alias("slope_hour"))
-    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+    past = _hourly(spark, sf_dir)
+    kinds = {"avg": "avg", "std": "std", "min": "min", "max": "max", "sum": "sum", "median": "median", "first_quartile": "firstQuartile", "third_quartile": "thirdQuartile", "quantile": "quantile"}
+    row = [round(TR.evaluate(k, {"quantile": 0.9}, past, _AT)[0], 6) for k in kinds.values()]
+    return spark.createDataFrame([(*row, round(TR.evaluate("linearRegression", {}, past, past[0][0])[0], 4))], ", ".join(f"{k} double" for k in [*kinds, "line"]))
 
 
 QUERIES["trend_statistics"] = _trend_stats
 ORACLE["trend_statistics"] = f"""
-WITH h AS ({_HOURLY})
+WITH h AS ({_HOURLY}), t AS (SELECT *, epoch_us(reference_date) / 3600000000.0 - min(epoch_us(reference_date)) OVER () / 3600000000.0 AS x FROM h)
 SELECT round(avg(result), 6) AS avg, round(stddev_samp(result), 6) AS std, round(min(result), 6) AS min, round(max(result), 6) AS max, round(sum(result), 6) AS sum,
        round(quantile_cont(result, 0.5), 6) AS median, round(quantile_cont(result, 0.25), 6) AS first_quartile, round(quantile_cont(result, 0.75), 6) AS third_quartile,
-       round(quantile_cont(result, 0.9), 6) AS quantile, round(regr_slope(result, epoch_us(reference_date) / 1000.0 / 3600000), 6) AS slope_hour FROM h"""
+       round(quantile_cont(result, 0.9), 6) AS quantile, round(regr_intercept(result, x) + regr_slope(result, x) * max(x), 4) AS line FROM t"""
+
+
+def _trend_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An autoregressive forecast of the next hour, of the first order, which least squares give in closed form; with and without a difference."""
+    past = _hourly(spark, sf_dir)
+    return spark.createDataFrame([(f"ar1_d{d}", round(TR.evaluate("arima", {"order": [1, d, 0]}, past, _AT)[0], 4)) for d in (0, 1)], "id string, result double")
+
+
+QUERIES["trend_arima"] = _trend_ar
+ORACLE["trend_arima"] = f"""
+WITH h AS ({_HOURLY}), d AS (SELECT reference_date, result, result - lag(result) OVER (ORDER BY reference_date) AS step FROM h),
+l AS (SELECT *, lag(result) OVER w AS r1, lag(step) OVER w AS s1 FROM d WINDOW w AS (ORDER BY reference_date)),
+last AS (SELECT result, step FROM d ORDER BY reference_date DESC LIMIT 1)
+SELECT 'ar1_d0' AS id, round(regr_intercept(result, r1) + regr_slope(result, r1) * (SELECT result FROM last), 4) AS result FROM l
+UNION ALL SELECT 'ar1_d1', round((SELECT result FROM last) + regr_intercept(step, s1) + regr_slope(step, s1) * (SELECT step FROM last), 4) FROM l"""
 
 
 def _average_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    """Each hour's result checked against the average of the three before it."""
+    past, rows = _hourly(spark, sf_dir), []
+    for i, (at, value) in enumerate(past[:-1]):
+        def history(ids, kind, rule, size, offset, i=i):
+            return [(d, v, None) for d, v in past[i + 1:i + 1 + int(size)]]
 
-    d = _daily(spark, sf_dir)
-    past = F.avg("result").over(Window.partitionBy(F.lit(1)).orderBy("reference_date").rowsBetween(-3, -1))  # one row an hour
-    rows = d.withColumn("average", past).where("average is not null")
-    low, high = F.col("average") * 0.75, F.col("average") * 1.25
-    ok = lambda c: F.when(c, "Success").otherwise("Failure")
-    return rows.select("reference_date", F.round("average", 6).alias("average"), ok((F.col("result") >= low) & (F.col("result") <= high)).alias("full"), ok(F.col("result") <= high).alias("upper"),
-                       ok(F.col("result") >= low).alias("lower"), ok((F.col("result") >= F.col("average") * 0.9) & (F.col("result") <= F.col("average") * 1.5)).alias("range"))
+        results = {"n": [C.Result("n", "ROW_COUNT", value)]}
+        both = {"id": "c", "metric": "n", "rule": "record", "windowSize": 3, "threshold": 0.25}
+        got = [C.trend(k, x, results, history) for k, x in (("averageBoundFull", both), ("averageBoundUpper", both), ("averageBoundLower", both),
+                                                            ("averageBoundRange", {**{k: v for k, v in both.items() if k != "threshold"}, "thresholdLower": 0.1, "thresholdUpper": 0.5}))]
+        rows.append((at, round(got[0].upper_bound, 6), *(g.status for g in got)))
+    return spark.createDataFrame(rows, "reference_date timestamp, bound double, full string, upper string, lower string, range string")
 
 
 QUERIES["checks_average_bound"] = _average_bounds
 ORACLE["checks_average_bound"] = f"""
 WITH h AS ({_HOURLY}), w AS (SELECT *, avg(result) OVER (ORDER BY reference_date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS average FROM h)
-SELECT reference_date, round(average, 6) AS average, CASE WHEN result >= average * 0.75 AND result <= average * 1.25 THEN 'Success' ELSE 'Failure' END AS "full",
+SELECT reference_date, round(average * 1.25, 6) AS bound, CASE WHEN result >= average * 0.75 AND result <= average * 1.25 THEN 'Success' ELSE 'Failure' END AS "full",
        CASE WHEN result <= average * 1.25 THEN 'Success' ELSE 'Failure' END AS upper, CASE WHEN result >= average * 0.75 THEN 'Success' ELSE 'Failure' END AS lower,
        CASE WHEN result >= average * 0.9 AND result <= average * 1.5 THEN 'Success' ELSE 'Failure' END AS range FROM w WHERE average IS NOT NULL"""
 
 
 def _top_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hour's two most frequent kinds of event checked against those of the hour before."""
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    n = e.groupBy("hour", "event_type").count()
-    top = n.withColumn("r", F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("count"), "event_type"))).where("r <= 2").groupBy("hour").agg(F.collect_set("event_type").alias("now"))
-    past = top.withColumn("before", F.lag("now").over(Window.partitionBy(F.lit(1)).orderBy("hour"))).where("before is not null")  # one row an hour
-    return past.select("hour", F.round(1 - F.size(F.array_intersect("now", "before")) / F.size(F.array_union("now", "before")), 6).alias("distance"))
+    n = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").count()
+    best = n.withColumn("r", F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("count"), "event_type"))).where("r <= 2").select("hour", "r", "event_type", "count")
+    by: dict[datetime, list[C.Result]] = {}
+    for r in sorted(best.collect()):  # two rows an hour
+        by.setdefault(r[0], []).append(C.Result("top", f"TOP_N_{r[1]}", float(r[3]), r[2]))
+    hours, rows = sorted(by), []
+    for before, now in zip(hours, hours[1:]):
+        def history(ids, kind, rule, size, offset, before=before):
+            return [(before, x.result, x.additional, x.metric_name) for x in by[before]]
+
+        rows.append((now, C.trend("topNRank", {"id": "c", "metric": "top", "targetNumber": 2, "threshold": 0.5}, {"top": by[now]}, history).status))
+    return spark.createDataFrame(rows, "hour timestamp, status string")
 
 
 QUERIES["checks_top_rank"] = _top_rank
@@ -337,7 +344,7 @@ ORACLE["checks_top_rank"] = """
 WITH n AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS c FROM events GROUP BY 1, 2),
 t AS (SELECT hour, list(event_type) AS now FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY c DESC, event_type) AS r FROM n) WHERE r <= 2 GROUP BY hour),
 p AS (SELECT *, lag(now) OVER (ORDER BY hour) AS before FROM t)
-SELECT hour, round(1 - len(list_intersect(now, before)) / len(list_distinct(list_concat(now, before)))::DOUBLE, 6) AS distance FROM p WHERE before IS NOT NULL"""
+SELECT hour, CASE WHEN 1 - len(list_intersect(now, before)) / len(list_distinct(list_concat(now, before)))::DOUBLE <= 0.5 THEN 'Success' ELSE 'Failure' END AS status FROM p WHERE before IS NOT NULL"""
 
 # Windows of a stream, replayed over the whole table.
 _STREAM = [("rows", "rowCount", [], {}), ("mean", "avgNumber", ["value"], {}), ("errors", "stringValues", ["event_type"], {"compareValue": "error"}), ("most", "maxNumber", ["value"], {})]
@@ -393,6 +400,129 @@ SELECT 'big' AS metric_id, l_orderkey FROM lineitem WHERE NOT coalesce(l_quantit
 SELECT 'again', l_orderkey FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY 1) AS n FROM lineitem) WHERE n > 1"""
 
 
+def _error_rows_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failing rows at the default size of a dump: which rows are kept is fixed, the first by their data."""
+    ms = _metrics([("flag", "stringInDomain", ["l_returnflag"], {"domain": ["A", "R"]}), ("big", "numberLessThan", ["l_quantity"], {"compareValue": 2})])
+    got = fuse.errors(table(spark, sf_dir, "lineitem"), ms, ["l_orderkey", "l_linenumber"])
+    return got.select("metric_id", F.to_json("row_data").alias("row_data"))
+
+
+QUERIES["error_rows_capped"] = _error_rows_capped
+_LINE = """'{{"l_orderkey":"' || l_orderkey || '","l_linenumber":"' || l_linenumber || '","{0}":"' || {1} || '"}}'"""
+ORACLE["error_rows_capped"] = f"""
+WITH e AS (SELECT 'flag' AS metric_id, {_LINE.format('l_returnflag', "coalesce(l_returnflag, '')")} AS row_data FROM lineitem WHERE NOT coalesce(l_returnflag IN ('A', 'R'), false)
+UNION ALL SELECT 'big', {_LINE.format('l_quantity', "coalesce(l_quantity::VARCHAR, '')")} FROM lineitem WHERE NOT coalesce(l_quantity < 2, false))
+SELECT metric_id, row_data FROM (SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY encode(row_data)) AS n FROM e) WHERE n <= 10000"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded lists: the five least prices of a supplier, and once more over its lists by ship mode."""
+    from .functions import aggregates as A
+
+    df = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice")
+    five = A.collect_lists(df, ["l_suppkey"], "l_extendedprice", 5, "least")
+    parts = A.collect_lists(df, ["l_suppkey", "l_linenumber"], "l_extendedprice", 5, "parts")
+    merged = A.merge_lists(parts, ["l_suppkey"], "parts", 5, "again").withColumnRenamed("l_suppkey", "k")
+    return five.join(merged, F.col("l_suppkey") == F.col("k")).select("l_suppkey", F.array_join(F.transform("least", lambda x: x.cast("decimal(20,2)")), ",").alias("least"), (F.col("least") == F.col("again")).alias("same"))
+
+
+QUERIES["bounded_lists"] = _lists
+ORACLE["bounded_lists"] = """
+SELECT l_suppkey, string_agg(l_extendedprice::DECIMAL(20,2)::VARCHAR, ',' ORDER BY l_extendedprice) AS least, true AS same
+FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS n FROM lineitem) WHERE n <= 5 GROUP BY l_suppkey"""
+
+
+def _stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouping metrics of windows, as a stream's closed windows give them."""
+    df = W.windowed(table(spark, sf_dir, "events"), "ts")
+    ms = [Metric("users", "distinctValues", "events", ["user_id", "event_type"], {}), Metric("again", "duplicateValues", "events", ["user_id"], {}), Metric("seq", "sequenceCompleteness", "events", ["user_id"], {}),
+          Metric("top", "topN", "events", ["event_type"], {"targetNumber": 2})]
+    return W.from_groups(W.window_groups(df, ms), ms).select("window_start", "metric_id", "metric_name", F.round("result", 9).alias("result"), "additional_result")
+
+
+QUERIES["stream_groups"] = _stream_groups
+ORACLE["stream_groups"] = f"""
+WITH e AS (SELECT {_BUCKET} AS window_start, user_id, event_type FROM events),
+u AS (SELECT window_start, user_id, count(*) AS n FROM e WHERE user_id IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, event_type) AS r, sum(n) OVER (PARTITION BY window_start) AS total
+      FROM (SELECT window_start, event_type, count(*) AS n FROM e WHERE event_type IS NOT NULL GROUP BY ALL))
+SELECT window_start, 'users' AS metric_id, 'DISTINCT_VALUES' AS metric_name, count(*)::DOUBLE AS result, NULL::VARCHAR AS additional_result
+FROM (SELECT DISTINCT * FROM e WHERE user_id IS NOT NULL OR event_type IS NOT NULL) GROUP BY 1
+UNION ALL SELECT window_start, 'again', 'DUPLICATE_VALUES', sum(n - 1)::DOUBLE, NULL FROM u GROUP BY 1
+UNION ALL SELECT window_start, 'seq', 'SEQUENCE_COMPLETENESS', round(count(*) / (max(user_id) - min(user_id) + 1)::DOUBLE, 9), NULL FROM u GROUP BY 1
+UNION ALL SELECT window_start, 'top', 'TOP_N_' || r, round(n / total::DOUBLE, 9), event_type FROM t WHERE r <= 2"""
+
+# Sources, schemas, targets and storage: a table goes out through a target and comes back through a reader.
+
+
+_FIELDS = [("o_orderkey", "long"), ("o_custkey", "long"), ("o_totalprice", "double"), ("o_orderpriority", "string")]
+_BACK = """SELECT count(*) AS n, sum(o_custkey)::BIGINT AS customers, round(sum(o_totalprice), 1) AS price, count(DISTINCT o_orderpriority) AS kinds,
+       min(o_orderpriority) AS first_kind FROM orders"""
+
+
+def _round_trip(name: str, save: dict[str, Any], source: dict[str, Any], schema: dict[str, Any] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .plans.job import Engine
+        from .sources import targets as TG
+
+        path = scratch(spark, "orders")
+        rows = table(spark, sf_dir, "orders").select(*[c for c, _ in _FIELDS])
+        if save["kind"] == "fixed":  # there is no target of this form, so lines are laid out by hand
+            rows.select(F.concat(*[F.rpad(F.coalesce(F.col(c).cast("decimal(20,2)" if k == "double" else "string").cast("string"), F.lit("")), 24, " ") for c, k in _FIELDS]).alias("value")).write.text(path)
+        else:
+            TG.save_virtual(rows, {**save, "path": path})
+        config = {"jobConfig": {"jobId": name, "schemas": [{"id": "s", **schema}] if schema else [], "sources": {"file": [{"id": "back", "path": path, **source}]}}}
+        frames, _ = Engine(spark).frames(parse(config))
+        return frames["back"].df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_custkey").cast("bigint")).alias("customers"), F.round(F.sum(F.col("o_totalprice").cast("double")), 1).alias("price"),
+                                     F.count_distinct("o_orderpriority").alias("kinds"), F.min("o_orderpriority").alias("first_kind"))
+
+    QUERIES[name] = run
+    ORACLE[name] = _BACK
+
+
+_round_trip("source_parquet", {"kind": "parquet"}, {"kind": "parquet"})
+_round_trip("source_orc", {"kind": "orc"}, {"kind": "orc"})
+_round_trip("source_delimited_header", {"kind": "delimited", "delimiter": ";", "header": True}, {"kind": "delimited", "delimiter": ";", "header": True})
+_round_trip("source_delimited_schema", {"kind": "delimited"}, {"kind": "delimited", "schema": "s"}, {"kind": "delimited", "schema": [{"name": c, "type": k} for c, k in _FIELDS]})
+_round_trip("source_fixed_full", {"kind": "fixed"}, {"kind": "fixed", "schema": "s"}, {"kind": "fixedFull", "schema": [{"name": c, "type": k, "width": 24} for c, k in _FIELDS]})
+_round_trip("source_fixed_short", {"kind": "fixed"}, {"kind": "fixed", "schema": "s"}, {"kind": "fixedShort", "schema": [f"{c}:24" for c, _ in _FIELDS]})
+
+
+def _storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results kept, replaced by a later run of the same date, and read back through a history window."""
+    from .sources.storage import FileStorage
+
+    store = FileStorage(spark, scratch(spark, "store"))
+    past = _hourly(spark, sf_dir)
+    row = lambda d, v: {"job_id": "j", "metric_id": "n", "metric_name": "ROW_COUNT", "result": v, "reference_date": d, "execution_date": d}
+    store.append("results_metric_regular", [row(d, -1.0) for d, _ in past[:5]])
+    store.append("results_metric_regular", [row(d, v) for d, v in past])
+    got = store.history("j", ["n"], "regular", "record", past[1][0], 24, 2)
+    return spark.createDataFrame([(d, v) for d, v, *_ in got], "reference_date timestamp, result double")
+
+
+QUERIES["storage_history"] = _storage
+ORACLE["storage_history"] = f"SELECT reference_date, result FROM ({_HOURLY}) ORDER BY reference_date DESC LIMIT 24 OFFSET 4"
+
+
+def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as a file target lays them out."""
+    from .sources import targets as TG
+
+    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("j").alias("job_id"), F.concat(F.lit("n_"), F.col("o_orderpriority")).alias("metric_id"), F.col("n").cast("double").alias("result"),
+        F.lit(datetime(2024, 1, 1)).alias("reference_date"), F.lit(datetime(2024, 1, 2)).alias("execution_date"))
+    path = scratch(spark, "results")
+    TG.write_file(TG.unified(rows, "regularMetricResult"), {"kind": "delimited", "header": True, "delimiter": "\t"}, path)
+    return spark.read.option("header", True).option("sep", "\t").option("escape", "\\").csv(path).select("jobId", "referenceDate", "entityType", "data")
+
+
+QUERIES["target_file"] = _unified
+ORACLE["target_file"] = """
+SELECT 'j' AS "jobId", '2024-01-01T00:00:00.000' AS "referenceDate", 'regularMetricResult' AS "entityType",
+       '{"metricId":"n_' || o_orderpriority || '","result":' || count(*) || '.0}' AS data FROM orders GROUP BY o_orderpriority"""
+
+
 def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.job import Engine
 

@@ -7,6 +7,7 @@ import uuid
 from datetime import datetime, timedelta
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 _S, _D, _TS, _B = T.StringType(), T.DoubleType(), T.TimestampType(), T.BooleanType()
@@ -117,8 +118,19 @@ class FileStorage(Storage):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _recover(self, table: str) -> None:
+        """Bring back what a writer that died between its two renames had put aside."""
+        at, fs = self._fs(f"{self.path}/.{table}-aside")
+        if fs.exists(at):
+            for part in fs.listStatus(at):
+                to, _ = self._fs(f"{self.path}/{table}/{part.getPath().getName()}")
+                if not fs.exists(to):
+                    fs.rename(part.getPath(), to)
+            fs.delete(at, True)
+
     def load(self, table: str) -> DataFrame | None:
         at, fs = self._fs(f"{self.path}/{table}")
+        self._recover(table)
         return self.spark.read.schema(TABLES[table][0]).parquet(f"{self.path}/{table}") if fs.exists(at) else None
 
     def save(self, table: str, rows: DataFrame) -> None:
@@ -133,9 +145,14 @@ class FileStorage(Storage):
         fs.mkdirs(path(f"{self.path}/{table}"))
         for part in fs.listStatus(path(tmp)):
             if part.isDirectory():
-                to = path(f"{self.path}/{table}/{part.getPath().getName()}")
-                fs.delete(to, True)
+                to, aside = (path(f"{self.path}/{x}/{part.getPath().getName()}") for x in (table, f".{table}-aside"))
+                fs.mkdirs(aside.getParent())
+                fs.delete(aside, True)
+                if fs.exists(to):
+                    fs.rename(to, aside)  # until the new one is in its place
                 fs.rename(part.getPath(), to)
+                fs.delete(aside, True)
+        fs.delete(path(f"{self.path}/.{table}-aside"), True)
         fs.delete(path(tmp), True)
 
 
@@ -167,7 +184,12 @@ class HiveStorage(Storage):
 
 
 class JdbcStorage(Storage):
-    """Tables of a database, reached through Spark's JDBC source; the driver's jar must be on the class path."""
+    """Tables of a database, reached through Spark's JDBC source; the driver's jar must be on the class path.
+
+    An upsert writes the new rows beside the table, and one transaction then
+    deletes the rows whose keys they have and inserts them: the history stays
+    in the database, and other jobs' rows are not touched.
+    """
 
     def __init__(self, spark: SparkSession, connection: dict[str, Any], schema: str | None = None):
         super().__init__(spark)
@@ -178,16 +200,67 @@ class JdbcStorage(Storage):
     def _name(self, table: str) -> str:
         return f"{self.schema}.{table}" if self.schema else table
 
+    def _connect(self):
+        jvm = self.spark._jvm
+        if self.options.get("driver"):
+            jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(self.options["driver"])
+        properties = jvm.java.util.Properties()
+        for k, v in self.options.items():
+            if k not in ("url", "driver"):
+                properties.setProperty(k, v)
+        return jvm.java.sql.DriverManager.getConnection(self.options["url"], properties)
+
+    def _there(self, table: str) -> bool:
+        connection = self._connect()
+        try:
+            statement = connection.createStatement()
+            try:
+                statement.executeQuery(f"SELECT 1 FROM {self._name(table)} WHERE 1 = 0").close()
+                return True
+            except Py4JJavaError:
+                return False
+            finally:
+                statement.close()
+        finally:
+            connection.close()
+
     def load(self, table: str) -> DataFrame | None:
+        if not self._there(table):
+            return None
         df = self.spark.read.format("jdbc").options(**self.options, dbtable=self._name(table)).load()
-        return df.toDF(*[c.lower() for c in df.columns])
+        return df.toDF(*[c.lower() for c in df.columns]).select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table][0].fields])
 
     def save(self, table: str, rows: DataFrame) -> None:
-        key = TABLES[table][1]
-        kept = merged(self.load(table), rows, key).persist()
-        kept.count()  # read in full before the table is emptied
-        kept.write.format("jdbc").options(**self.options, dbtable=self._name(table), truncate="true").mode("overwrite").save()
-        kept.unpersist()
+        schema, key = TABLES[table]
+        columns = [f.name.upper() for f in schema.fields]  # Spark quotes names as they are; databases fold unquoted ones
+        types = ", ".join(f"{f.name.upper()} VARCHAR(512)" for f in schema.fields if f.dataType == _S and f.name in key)  # the text type of some databases can't be compared
+        new = merged(None, rows, key).toDF(*columns)
+
+        def write(name: str) -> None:
+            new.write.format("jdbc").options(**self.options, dbtable=name, createTableColumnTypes=types).mode("errorifexists").save()
+
+        if not self._there(table):
+            write(self._name(table))
+            return
+        beside = self._name(f"new_{uuid.uuid4().hex[:16]}")
+        write(beside)
+        name, quote = self._name(table), lambda c: f'"{c.upper()}"'
+        same = " AND ".join(f"(b.{quote(k)} = {name}.{quote(k)} OR b.{quote(k)} IS NULL AND {name}.{quote(k)} IS NULL)" for k in key)
+        list_ = ", ".join(map(quote, columns))
+        connection = self._connect()
+        try:
+            connection.setAutoCommit(False)
+            statement = connection.createStatement()
+            statement.executeUpdate(f"DELETE FROM {name} WHERE EXISTS (SELECT 1 FROM {beside} b WHERE {same})")
+            statement.executeUpdate(f"INSERT INTO {name} ({list_}) SELECT {list_} FROM {beside}")
+            connection.commit()
+            statement.executeUpdate(f"DROP TABLE {beside}")
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
 
 
 def open_storage(spark: SparkSession, spec: dict[str, Any] | None) -> Storage | None:

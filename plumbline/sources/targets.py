@@ -81,6 +81,27 @@ def write_kafka(df: DataFrame, connection: dict[str, Any], topic: str, options:
     kafka_messages(df, aggregate).write.format("kafka").options(**{"kafka.bootstrap.servers": ",".join(connection["servers"]), "topic": topic, **(options or {})}).save()
 
 
+def render(template: str, values: dict[str, Any]) -> str:
+    """A template with its ``{{ name }}`` places filled in; ``{{#name}}...{{/name}}`` stands once for each item of a list (``{{.}}``), or if the value is neither empty, 0 nor false; an unknown name is empty."""
+    def block(m: re.Match) -> str:
+        got = values.get(m[1])
+        if isinstance(got, (list, set, tuple)):
+            return "".join(render(m[2], {**values, ".": x}) for x in got)
+        return render(m[2], values) if got else ""
+
+    text = re.sub(r"\{\{#\s*([\w.]+)\s*\}\}(.*?)\{\{/\s*\1\s*\}\}", block, template, flags=re.S)
+    return re.sub(r"\{\{\s*([\w.]+)\s*\}\}", lambda m: ", ".join(map(str, x)) if isinstance(x := values.get(m[1], ""), (list, set, tuple)) else str(x), text)
+
+
+def template_of(spark: SparkSession, spec: dict[str, Any]) -> str | None:
+    """The template of a message: given in place, or read from a file of any file system Spark knows; None without one."""
+    if spec.get("template"):
+        return spec["template"]
+    if spec.get("templateFile"):
+        return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(spec["templateFile"]).collect())  # one small file
+    return None
+
+
 def summary_text(summary: dict[str, Any], html: bool = False) -> str:
     """The summary of a run for a reader."""
     lines = [f"{k}: {', '.join(v) if isinstance(v, list) else v}" for k, v in summary.items()]
@@ -127,11 +148,13 @@ class Targets:
     def _notify(self, channel: str, spec: dict[str, Any], subject: str, summary: dict[str, Any], attachments: dict[str, str] | None = None) -> None:
         if not self.settings.get("allowNotifications", False):
             raise PermissionError("notifications are not allowed by the application settings")
-        config = self.settings[channel]
+        config, template = self.settings[channel], template_of(self.spark, spec)
+        subject = render(spec["subjectTemplate"], summary) if spec.get("subjectTemplate") else subject
+        body = render(template, summary) if template else summary_text(summary, html=channel == "email")
         if channel == "email":
-            send_email(config, spec["recipients"], subject, summary_text(summary, html=True), attachments)
+            send_email(config, spec["recipients"], subject, body, attachments)
         else:
-            send_mattermost(config, spec["recipients"], summary_text(summary))
+            send_mattermost(config, spec["recipients"], body)
 
     def _put(self, channel: str, spec: dict[str, Any], rows: DataFrame, name: str, run: tuple[str, str, str]) -> None:
         if channel == "file":

@@ -9,4 +9,4 @@ from plumbline.queries import QUERIES
 def test_whole_join(spark, tmp_path, how, n):
     spark.createDataFrame([(1, 10), (1, 11), (2, 12), (7, 13)], "o_custkey bigint, o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
-    assert QUERIES[f"virtual_join_whole_{how}"](spark, str(tmp_path)).count() == n
+    assert QUERIES[f"virtual_join_{how}"](spark, str(tmp_path)).count() == n
