@@ -387,9 +387,9 @@ def near_groups_sql() -> str:
     """DuckDB SQL for :func:`near_groups` over ``embeddings`` with its default parameters: every pair of vectors, then least ids passed on to a fixed point."""
     return f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id AS id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)),
-u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0 AND NOT list_contains(list_transform(e, x -> isfinite(x)), false)),
+u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0 AND isfinite(list_dot_product(e, e))),
 pair AS (
   SELECT DISTINCT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e)
     >= {COSINE} * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))),
