@@ -179,21 +179,22 @@ _virtual("virtual_aggregate", ["lineitem"], {"kind": "aggregate", "groupBy": ["l
 
 
 def _join(how: str) -> None:
+    """All orders with all parts, whose keys are moved so that either side has some of its own."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames = {"bought": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey"),
-                  "buyers": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")}
-        got = V.derive_all(spark, [{"id": "j", "kind": "join", "parentSources": ["bought", "buyers"], "joinBy": ["k"], "joinType": how}], frames)["j"]
-        return got.fillna({c: v for c, v in (("o_orderkey", -1), ("c_name", "none")) if c in got.columns})
+                  "parts": table(spark, sf_dir, "part").select((F.col("p_partkey") + 50).alias("k"), "p_name")}
+        got = V.derive_all(spark, [{"id": "j", "kind": "join", "parentSources": ["bought", "parts"], "joinBy": ["k"], "joinType": how}], frames)["j"]
+        return got.fillna({c: v for c, v in (("o_orderkey", -1), ("p_name", "none")) if c in got.columns})
 
     low = how.lower()
     name = f"virtual_join_{low}"
     QUERIES[name] = run
-    a, b = "(SELECT o_custkey AS k, o_orderkey FROM orders) a", "(SELECT c_custkey AS k, c_name FROM customer) b"
+    a, b = "(SELECT o_custkey AS k, o_orderkey FROM orders) a", "(SELECT p_partkey + 50 AS k, p_name FROM part) b"
     if low in ("semi", "leftsemi", "anti", "leftanti"):
         ORACLE[name] = f"SELECT k, o_orderkey FROM {a} WHERE {'NOT ' if 'anti' in low else ''}EXISTS (SELECT 1 FROM {b} WHERE b.k = a.k)"
     else:
         word = {"outer": "FULL", "full": "FULL", "fullouter": "FULL", "left": "LEFT", "leftouter": "LEFT", "right": "RIGHT", "rightouter": "RIGHT"}.get(low, "INNER")
-        ORACLE[name] = f"SELECT k, coalesce(o_orderkey, -1) AS o_orderkey, coalesce(c_name, 'none') AS c_name FROM {a} {word} JOIN {b} USING (k)"
+        ORACLE[name] = f"SELECT k, coalesce(o_orderkey, -1) AS o_orderkey, coalesce(p_name, 'none') AS p_name FROM {a} {word} JOIN {b} USING (k)"
 
 
 for _how in ("inner", "outer", "cross", "full", "right", "left", "semi", "anti", "fullOuter", "rightOuter", "leftOuter", "leftSemi", "leftAnti"):
