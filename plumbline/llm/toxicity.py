@@ -71,12 +71,14 @@ class Features:
     """What fitting needs of a column of texts, gathered slice by slice, so that memory follows the words and not the bytes.
 
     ``word``: each word's place among the distinct ones; ``count``: words of
-    each row; ``hash``: the distinct words; ``pieces``: their n-grams as in
-    :class:`Vocabulary`.
+    each row; ``hash``: the distinct words; ``pairs``: the distinct words of
+    each row, as place times rows plus row, sorted; ``pieces``: the words'
+    n-grams as in :class:`Vocabulary`.
     """
 
     def __init__(self, texts: pa.Array):
-        places, counts, self.hash = [], [], np.zeros(0, np.uint64)
+        places, counts, pairs, self.hash = [], [], [], np.zeros(0, np.uint64)
+        base = 0
         pieces: list[list[tuple[np.ndarray, np.ndarray]]] = []
         for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
             words = Words(part.column(0))
@@ -93,9 +95,13 @@ class Features:
             pieces.append([(place[owner[fresh[owner]]].astype(np.int32), gram[fresh[owner]]) for owner, gram in vocab.pieces])
             self.hash = np.concatenate([self.hash, vocab.hash[new]])
             places.append(place[vocab.inverse].astype(np.int32)), counts.append(words.count)
+            pairs.append(np.unique(place[vocab.inverse] * np.int64(len(texts)) + words.doc + base))
+            base += words.rows
         self.word = np.concatenate([*places, np.zeros(0, np.int32)])
         self.count = np.concatenate([*counts, np.zeros(0, np.int64)])
         self.doc = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+        self.pairs = np.concatenate([*pairs, np.zeros(0, np.int64)])
+        self.pairs.sort()
         self.pieces = [tuple(np.concatenate(x) for x in zip(*kind)) for kind in zip(*pieces)]
 
 
@@ -286,15 +292,18 @@ def train(texts: pa.Array, label: np.ndarray, *, epochs: int | None = None, batc
     found = Features(texts)
     held = rng.random(len(label)) < (0.2 if len(label) >= 50 else 0)
     least = 3 if len(label) < 2000 else 5
-    seen = np.unique(found.word[~held[found.doc]] * np.int64(len(label)) + found.doc[~held[found.doc]])  # (distinct word, row), to hand n-grams their rows
-    seen, seen_row = np.divmod(seen, np.int64(len(label)))
+    seen, seen_row = np.divmod(found.pairs, np.int64(len(label)))  # (distinct word, row), to hand n-grams their rows
+    seen, seen_row, found.pairs = seen[~held[seen_row]].astype(np.int32), seen_row[~held[seen_row]].astype(np.int32), None
     wk, wo, _ = _odds(found.hash[seen], seen_row, label, MAX_WORDS, least)
     at = np.searchsorted(seen, np.arange(len(found.hash) + 1))
     best = []
-    for owner, gram in found.pieces:
-        n = np.diff(at)[owner]
-        take = np.repeat(at[:-1][owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        best.append(_odds(np.repeat(gram, n), seen_row[take], label, MAX_NGRAMS, least))
+    for owner_, gram_ in found.pieces:
+        for part in range(16):  # by their first bits, so that few are laid out at a time
+            mine = (gram_ >> np.uint64(60)) == part
+            owner, gram = owner_[mine], gram_[mine]
+            n = np.diff(at)[owner]
+            take = np.repeat(at[:-1][owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            best.append(_odds(np.repeat(gram, n), seen_row[take], label, MAX_NGRAMS, least))
     gk, go, gz = (np.concatenate(x) for x in zip(*best))
     top = np.argsort(-gz, kind="stable")[:MAX_NGRAMS]
     top = top[np.argsort(gk[top])]
