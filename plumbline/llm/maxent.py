@@ -207,22 +207,23 @@ def decisions(model: Model, bucket: np.ndarray, hashes: np.ndarray) -> Iterator[
     few, (keys, after) = np.ascontiguousarray(hashes[:, :2]), model.walk()
     while len(at):
         base = min(level, LEVELS - 1) * part
-        next_at, next_node = [], []
+        next_at, next_node, whole = [], [], len(at) == len(rank)
         for c in range(0, len(at), CHUNK):
             a, n = at[c:c + CHUNK], node[c:c + CHUNK]
-            up = rank[a] >= model.split[n]
-            x = hashes[a] if level < SKIP_LEVELS else few[a]
-            x ^= keys[n][:, None]
+            pick = slice(c, c + CHUNK) if whole else a
+            up = rank[pick] >= model.split[n]
+            x = (hashes if level < SKIP_LEVELS else few)[pick] ^ keys[n][:, None]
             x *= np.uint64(0xD6E8FEB86659FD93)
             x >>= half
             x *= size
             x >>= half
             slot = x.view(np.int64)
             slot += base
-            yield level, a, n, up, slot
+            yield level, pick, n, up, slot
             n = after[2 * n + up]
             go = n >= 0
-            next_at.append(a[go]), next_node.append(n[go])
+            done = not go.all()
+            next_at.append(a[go] if done else a), next_node.append(n[go] if done else n)
         at, node, level = np.concatenate(next_at), np.concatenate(next_node), level + 1
 
 
