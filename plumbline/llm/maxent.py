@@ -51,9 +51,11 @@ BUCKET_SHARE, SLOT_SHARE, SLOT_POWER = 32, 16, 0.6  #: buckets for the square ro
 SKIP_LEVELS = 6
 LIMIT = 16.0  #: log odds are kept within this, so a word's probability never underflows
 LEVELS = 16  #: parts of the table; deeper levels share the last one
-SLICE, CHUNK = 1 << 20, 1 << 13  #: bytes of text worked on together, words in one step
+SLICE, CHUNK = 1 << 18, 1 << 13  #: bytes of text worked on together, words in one step
 PIECE = 1 << 14  #: numbers that travel together
-TASK_BYTES = 64  #: a task reads this many bytes of text or more for each slot, so that what it sends is a small share of what it reads
+TASK_BYTES = 64  #: a task reads about this many bytes of text for each slot, so that what it sends is a small share of what it reads
+ROWS = 1 << 16  #: buckets that the driver clusters at a time
+BIG = 1 << 26  #: decisions that a slot counts before its part of the table is sent on
 _OFFSETS = tuple(np.uint64(x) for x in (0x1B873593A5A5A5A5, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 1 << 12  #: directions are kept as whole numbers of this part
@@ -77,12 +79,12 @@ class Model:
     high: np.ndarray
     bias: np.ndarray
     slots: np.ndarray
-    _walk: tuple | None = field(default=None, init=False, repr=False)
+    _walk: np.ndarray | None = field(default=None, init=False, repr=False)
 
-    def walk(self) -> tuple[np.ndarray, np.ndarray]:
-        """A key of each node and the nodes after it (low, high) side by side."""
+    def walk(self) -> np.ndarray:
+        """The nodes after each node (low, high) side by side."""
         if self._walk is None:
-            self._walk = np.arange(1, len(self.split) + 1, dtype=np.uint64) * _STEP, np.stack([self.low, self.high], 1).ravel()
+            self._walk = np.stack([self.low, self.high], 1).ravel()
         return self._walk
 
     def state(self) -> dict[str, np.ndarray]:
@@ -147,28 +149,44 @@ def company(table: np.ndarray, words: Words, total: np.ndarray) -> None:
 
 def next_directions(total: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The directions after a round of averaging: centred, made independent and of one length, all weighed by frequency."""
-    mean = total.T / np.maximum(1, counts)[:, None]
     weight = counts / max(1, counts.sum())
-    mean = (mean - weight @ mean) * (counts > 0)[:, None]
-    value, axis = np.linalg.eigh((mean * weight[:, None]).T @ mean)
-    out = mean @ (axis / np.sqrt(np.maximum(value, 1e-9)))
-    return np.clip(np.rint(out * _UNIT), -64 * _UNIT, 64 * _UNIT).astype(np.int32)
+    parts = [slice(at, at + ROWS) for at in range(0, len(counts), ROWS)]
+
+    def mean(at: slice) -> np.ndarray:
+        return total[:, at].T / np.maximum(1, counts[at])[:, None]
+
+    centre = sum(weight[at] @ mean(at) for at in parts)
+
+    def centred(at: slice) -> np.ndarray:
+        return (mean(at) - centre) * (counts[at] > 0)[:, None]
+
+    value, axis = np.linalg.eigh(sum((x * weight[at][:, None]).T @ x for at in parts for x in [centred(at)]))
+    turn = axis / np.sqrt(np.maximum(value, 1e-9))
+    out = np.empty((len(counts), len(total)), np.int32)
+    for at in parts:
+        out[at] = np.clip(np.rint(centred(at) @ turn * _UNIT), -64 * _UNIT, 64 * _UNIT)
+    return out
 
 
 def cluster(points: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Classes of buckets by weighted k-means, started from points far apart; buckets that never occur are in class 0."""
-    x = points.astype(np.float64) / _UNIT
-    centres = x[[int(counts.argmax())]]
+    parts = [slice(at, at + ROWS) for at in range(0, len(counts), ROWS)]
+    centres = points[[int(counts.argmax())]] / _UNIT
     often = np.lexsort((np.arange(len(counts)), -counts))[:SEEDS]
+    seeds = points[often] / _UNIT
     for _ in range(CLASSES - 1):
-        far = ((x[often, None] - centres) ** 2).sum(2).min(1)
+        far = ((seeds[:, None] - centres) ** 2).sum(2).min(1)
         if far.max() <= 0:
             break
-        centres = np.concatenate([centres, x[often[[int(far.argmax())]]]])
+        centres = np.concatenate([centres, seeds[[int(far.argmax())]]])
+    of = np.zeros(len(counts), np.int64)
     for _ in range(8):
-        of = ((centres ** 2).sum(1) - 2 * x @ centres.T).argmin(1)
-        mass = np.bincount(of, counts, len(centres))
-        moved = np.stack([np.bincount(of, counts * x[:, d], len(centres)) for d in range(x.shape[1])], 1)
+        mass, moved = np.zeros(len(centres)), np.zeros(centres.shape)
+        for at in parts:
+            x = points[at] / _UNIT
+            of[at] = ((centres ** 2).sum(1) - 2 * x @ centres.T).argmin(1)
+            mass += np.bincount(of[at], counts[at], len(centres))
+            moved += np.stack([np.bincount(of[at], counts[at] * x[:, d], len(centres)) for d in range(x.shape[1])], 1)
         centres = np.where(mass[:, None] > 0, moved / np.maximum(mass, 1e-9)[:, None], centres)
     return np.where(counts > 0, of, 0)
 
@@ -204,7 +222,7 @@ def decisions(model: Model, bucket: np.ndarray, hashes: np.ndarray) -> Iterator[
     node = np.zeros(len(at), np.int32)
     part = len(model.slots) // LEVELS
     size, half, level = np.uint64(part), np.uint64(32), 0
-    few, (keys, after) = np.ascontiguousarray(hashes[:, :2]), model.walk()
+    few, after = np.ascontiguousarray(hashes[:, :2]), model.walk()
     while len(at):
         base = min(level, LEVELS - 1) * part
         next_at, next_node, whole = [], [], len(at) == len(rank)
@@ -212,7 +230,7 @@ def decisions(model: Model, bucket: np.ndarray, hashes: np.ndarray) -> Iterator[
             a, n = at[c:c + CHUNK], node[c:c + CHUNK]
             pick = slice(c, c + CHUNK) if whole else a
             up = rank[pick] >= model.split[n]
-            x = (hashes if level < SKIP_LEVELS else few)[pick] ^ keys[n][:, None]
+            x = (hashes if level < SKIP_LEVELS else few)[pick] ^ ((n.astype(np.uint64) + np.uint64(1)) * _STEP)[:, None]
             x *= np.uint64(0xD6E8FEB86659FD93)
             x >>= half
             x *= size
@@ -236,45 +254,70 @@ def _chance(model: Model, node: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return np.clip(x, -LIMIT, LIMIT, out=x)
 
 
-def gather(model: Model, words: Words, sums: dict[str, np.ndarray]) -> None:
-    """Add what the slots see in some texts: ``expected`` and, where asked for, ``seen`` decisions and ``upper`` sides taken."""
-    bucket, hashes = encode(words, len(model.rank))
-    part, now = len(model.slots) // LEVELS, -1
-    both, fore = np.zeros(part), np.zeros(part)
-    count, big = "seen" in sums, float(1 << 26)  # both counts of a level share one number; a slice has fewer words by far
-
-    def flush() -> None:
-        if now >= 0:
-            base = min(now, LEVELS - 1) * part
-            sums["expected"][base:base + part] += fore
-            fore[:] = 0
-            if count:
-                high = np.floor(both / big)
-                sums["upper"][base:base + part] += high
-                sums["seen"][base:base + part] += both - high * big
-                both[:] = 0
+class Tally:
+    """What slots see, a complex number each: its real part is what was ``expected``, its imaginary part ``BIG`` times the ``upper`` sides taken and the decisions ``seen``.
+
+    One look-up adds all three, and nothing passes over the table from one text to the next.  ``left`` bounds what a slot of each part may still see;
+    a part with a slot that nears ``BIG`` is taken out to ``full``, (place, sums) each.
+    """
 
+    def __init__(self, size: int):
+        self.part = size // LEVELS
+        self.sums = [np.zeros(self.part, np.complex128) for _ in range(LEVELS)]  # by part, so that a part can be let go
+        self.left = [BIG - 1] * LEVELS
+        self.full: list[tuple[int, np.ndarray]] = []
+
+    def add(self, level: int, slot: np.ndarray, p: np.ndarray, up: np.ndarray) -> None:
+        k = min(level, LEVELS - 1)
+        if self.left[k] < slot.size:
+            self._relieve(k)
+        self.left[k] -= slot.size
+        seen = np.empty(len(p), np.complex128)
+        seen.real, seen.imag = p, up * float(BIG) + 1
+        for at in np.ascontiguousarray(slot.T) - k * self.part:
+            np.add.at(self.sums[k], at, seen)
+
+    def _relieve(self, k: int) -> None:
+        """See how much the slots of a part did see, and take it out if a slot is half full."""
+        most = int(np.mod(self.sums[k].imag, BIG).max())
+        if most >= BIG // 2:
+            self.full.append((k * self.part, self.sums[k]))
+            self.sums[k], most = np.zeros(self.part, np.complex128), 0
+        self.left[k] = BIG - 1 - most
+
+    def all(self) -> Iterator[tuple[int, np.ndarray]]:
+        """All sums, (place, ``apart``) each; a place may come more than once."""
+        for at, sums in [*self.full, *((k * self.part, x) for k, x in enumerate(self.sums))]:
+            yield at, apart(sums)
+
+
+def apart(sums: np.ndarray) -> np.ndarray:
+    """(3, slots): ``seen``, ``upper`` and ``expected`` of a tally's sums."""
+    upper = np.floor(sums.imag / BIG)
+    return np.stack([sums.imag - upper * BIG, upper, sums.real])
+
+
+def tally(model: Model, words: Words, to: Tally) -> None:
+    """Add what the slots see in some texts."""
+    bucket, hashes = encode(words, len(model.rank))
     for level, _, node, up, slot in decisions(model, bucket, hashes):
-        if level != now:
-            flush()
-            now = level
-        base = min(level, LEVELS - 1) * part
-        p = 1 / (1 + np.exp(-_chance(model, node, slot)))
-        slot -= base
-        p = p.astype(np.float64)
-        both_ = up * big + 1.0
-        for j in range(slot.shape[1]):
-            np.add.at(fore, slot[:, j], p)
-            if count:
-                np.add.at(both, slot[:, j], both_)
-    flush()
-
-
-def _step(slots: np.ndarray, seen: np.ndarray, upper: np.ndarray, expected: np.ndarray) -> None:
-    """One step of all slots along observed less expected counts, on the log scale of either side."""
+        to.add(level, slot, 1 / (1 + np.exp(-_chance(model, node, slot))), up)
+
+
+def gather(model: Model, words: Words, sums: dict[str, np.ndarray]) -> None:
+    """Add to ``seen``, ``upper`` and ``expected`` what all slots see in some texts."""
+    to = Tally(len(model.slots))
+    tally(model, words, to)
+    for at, got in to.all():
+        for k, x in zip(("seen", "upper", "expected"), got):
+            sums[k][at:at + len(x)] += x
+
+
+def _step(seen: np.ndarray, upper: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """One step of slots along observed less expected counts, on the log scale of either side."""
     lower, unexpected = seen - upper, np.maximum(0, seen - expected)
     step = np.log((upper + PRIOR) / (np.maximum(0, expected) + PRIOR)) - np.log((lower + PRIOR) / (unexpected + PRIOR))
-    slots += (RATE * step).astype(np.float32)
+    return (RATE * step).astype(np.float32)
 
 
 def sizes(n_bytes: int) -> tuple[int, int]:
@@ -282,6 +325,11 @@ def sizes(n_bytes: int) -> tuple[int, int]:
     return max(256, round(BUCKET_SHARE * n_bytes ** 0.5)), LEVELS * max(256, round(SLOT_SHARE / LEVELS * n_bytes ** SLOT_POWER))
 
 
+def task_count(n_bytes: int, size: int, cores: int) -> int:
+    """Tasks for a pass over a corpus: a whole number for each core, so that none waits for others' last tasks."""
+    return cores * max(1, -(-n_bytes // (TASK_BYTES * size * cores)))
+
+
 def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS, shape: tuple[int, int] | None = None, tasks: int | None = None) -> Model:
     """Fit the model on all words of all documents, each text in one of ``rounds`` rounds (by a hash of it).
 
@@ -292,70 +340,69 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
 
     Work: ``TURNS`` passes count the buckets and find their company, then the
     rounds fit; all read the texts where they lie.  What a task sends grows with the table, so tasks read
-    TASK_BYTES a slot or more; it is combined by piece in the shuffle.  The
-    driver holds the table (8 bytes a slot and sum) and broadcasts 4 bytes a
-    slot and 20 a bucket; both follow the corpus' size by powers below one.
+    about TASK_BYTES a slot; it is combined by piece in the shuffle, where each slot's step is taken too.  A
+    task holds 16 bytes a slot for its sums, the
+    driver the table (4 bytes a slot), of which a round sends it the steps (4 more); it broadcasts 4 bytes a
+    slot and 20 a bucket.  All follow the corpus' size by powers below one.
     """
     shelf = Shelf(spark)
     rows = docs.where(docs[text].isNotNull()).select(docs[text].alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets, size = shape or sizes(n_bytes)
 
-    tasks = tasks or max(spark.sparkContext.defaultParallelism, n_bytes // (TASK_BYTES * size))
+    tasks = tasks or task_count(n_bytes, size, spark.sparkContext.defaultParallelism)
 
     built: dict[int, Model] = _Kept()
 
-    def total(rows: DataFrame, make: Callable[[], dict[str, np.ndarray]], add: Callable[[Words, dict[str, np.ndarray]], None]) -> dict[str, np.ndarray]:
-        """Sums over the texts of ``rows``: ``make`` gives a task's zeros, ``add`` adds some texts to them."""
-        kinds = {k: v.dtype for k, v in make().items()}
-        sent = {k: np.dtype(np.float32) if t == np.float64 else t for k, t in kinds.items()}
+    fields = "kind string, at bigint, raw binary"
+
+    def record(kind: str, at: int, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([at]), pa.array([x.tobytes()], pa.binary())], names=["kind", "at", "raw"])
+
+    def total(rows: DataFrame, out: dict[str, np.ndarray], send: Callable[[Iterator[Words]], Iterator[pa.RecordBatch]], finish: Callable[[Iterator[bytes]], np.ndarray]) -> None:
+        """Add to ``out`` sums over the texts of ``rows``: ``send`` gives a task's sums by piece, ``finish`` what becomes of all tasks' sums of a piece."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = make()
-            for batch in batches:
-                for part in slices(batch, 0, SLICE):
-                    words = Words(part.column(0))
-                    if len(words.hash):
-                        add(words, sums)
-            built.clear()  # what is sent needs no model
-            words = None
-            for k in list(sums):
-                v = sums.pop(k)
-                for at in range(0, len(v), PIECE):
-                    if v[at:at + PIECE].any():
-                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at]), pa.array([v[at:at + PIECE].astype(sent[k]).tobytes()], pa.binary())], names=["kind", "at", "raw"])
+            yield from send(words for batch in batches for part in slices(batch, 0, SLICE) for words in [Words(part.column(0))] if len(words.hash))
 
         def merge(table: pa.Table) -> pa.Table:
-            k = table.column("kind")[0].as_py()
-            got = sum(np.frombuffer(x.as_buffer(), sent[k]).astype(kinds[k]) for x in table.column("raw"))
+            got = finish(x.as_buffer() for x in table.column("raw"))
             return pa.table({"kind": table.column("kind")[:1], "at": table.column("at")[:1], "raw": pa.array([got.tobytes()], pa.binary())})
 
-        fields = "kind string, at bigint, raw binary"
         merged = shelf.put(rows.coalesce(tasks).mapInArrow(run, fields).groupBy("kind", "at").applyInArrow(merge, fields))
-        out = make()
-        for batch in merged.toArrow().to_batches():
-            for k, at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                x = np.frombuffer(raw.as_buffer(), kinds[k])
-                out[k][at:at + len(x)] = x
+        for k, at, raw in merged.toLocalIterator():  # the driver holds a few pieces at a time
+            x = np.frombuffer(raw, out[k].dtype)
+            out[k][at:at + len(x)] += x
         shelf.drop(merged)
-        return out
 
     points, counts = start_directions(buckets), None
     for _ in range(TURNS):
         shared = spark.sparkContext.broadcast(points)
         names = [f"d{d}" for d in range(DIRECTIONS)]
 
-        def look(words: Words, sums: dict[str, np.ndarray]) -> None:
-            company(shared.value, words, [sums[d] for d in names])
-            if "counts" in sums:
-                sums["counts"] += np.bincount(_buckets(words, buckets), minlength=buckets)
-
         wanted = names if counts is not None else [*names, "counts"]
-        found = total(rows, lambda: {k: np.zeros(buckets, np.int64) for k in wanted}, look)
-        counts = found.get("counts", counts)
-        points = next_directions(np.stack([found[d] for d in names]), counts)
+
+        def look(texts: Iterator[Words]) -> Iterator[pa.RecordBatch]:
+            sums = {k: np.zeros(buckets, np.int64) for k in wanted}
+            for words in texts:
+                company(shared.value, words, [sums[d] for d in names])
+                if "counts" in sums:
+                    np.add.at(sums["counts"], _buckets(words, buckets), 1)
+            for k, v in sums.items():
+                for at in range(0, buckets, PIECE):
+                    if v[at:at + PIECE].any():
+                        yield record(k, at, v[at:at + PIECE])
+
+        found = np.zeros((len(wanted), buckets), np.int64)
+        total(rows, dict(zip(wanted, found)), look, lambda raw: sum(np.frombuffer(x, np.int64) for x in raw))
+        counts = found[DIRECTIONS].copy() if counts is None else counts
+        points = next_directions(found[:DIRECTIONS], counts)
         shared.unpersist()
-    model = grow_tree(counts, cluster(points, counts))
+        found = shared = None
+    of = cluster(points, counts)
+    points = None
+    model = grow_tree(counts, of)
+    of = counts = None
 
     def own(shared) -> Model:
         """The broadcast model, put together once in a task."""
@@ -367,10 +414,32 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", rounds: i
     model.slots = np.zeros(size, np.float32)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model.state())
-        share = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
-        sums = total(share, lambda: {x: np.zeros(size) for x in ("expected", "seen", "upper")}, lambda words, sums: gather(own(shared), words, sums))
-        model.slots = model.slots.copy()
-        _step(model.slots, **sums)
+
+        def fit(texts: Iterator[Words]) -> Iterator[pa.RecordBatch]:
+            to = Tally(size)
+
+            def pieces(first: int, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for at in range(-(first % PIECE), len(sums), PIECE):  # pieces of the table, whatever part of it comes
+                    got = np.zeros((3, min(PIECE, size - first - at)), np.float32)
+                    here = slice(max(0, at), min(len(sums), at + PIECE))
+                    got[:, here.start - at:here.stop - at] = apart(sums[here])
+                    if got.any():
+                        yield record("slots", first + at, got)
+
+            for words in texts:
+                tally(own(shared), words, to)
+                while to.full:
+                    yield from pieces(*to.full.pop())
+            built.clear()  # what is sent needs no model
+            words = None
+            for k in range(LEVELS):
+                yield from pieces(k * to.part, to.sums[k])
+                to.sums[k] = None
+
+        def step(raw: Iterator[bytes]) -> np.ndarray:
+            return _step(*sum(np.frombuffer(x, np.float32).astype(np.float64) for x in raw).reshape(3, -1))
+
+        total(rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), {"slots": model.slots}, fit, step)
         shared.unpersist()
     return model
 
