@@ -169,9 +169,13 @@ def window_metrics(df: DataFrame, metrics: list[Metric], settings: StreamSetting
 
 
 def session_metrics(df: DataFrame, metrics: list[Metric], gap: str, by: list[str]) -> DataFrame:
-    """Single-pass metrics for each session: rows of one key no further apart than ``gap``."""
+    """Single-pass metrics for each session: rows of one key, each less than ``gap`` after the one before; ``session_end`` is ``gap`` after the last.
+
+    Spark also joins rows exactly ``gap`` apart, so it is given a gap that is shorter by its smallest unit of time.
+    """
     values = [single(m.kind, cells(df, m.columns), m).value.alias(f"m{i}") for i, m in enumerate(metrics)]
-    return df.groupBy(*by, F.session_window(EVENT, gap).alias("w")).agg(*values).select(*by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *[f"m{i}" for i in range(len(metrics))])
+    got = df.groupBy(*by, F.session_window(EVENT, f"{gap} -1 microsecond").alias("w")).agg(*values)
+    return got.select(*by, F.col("w.start").alias("session_start"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("session_end"), *[f"m{i}" for i in range(len(metrics))])
 
 
 _BRANCHES = "window_start timestamp, metric_id string, metric_name string, source_id string, result double, value string, number bigint, n bigint, error string"
