@@ -110,6 +110,16 @@ def _number(agg: Callable[[Column, Metric], Column], empty: float = NAN):
     return build
 
 
+_SHARES = {"medianValue": 0.5, "firstQuantile": 0.25, "thirdQuantile": 0.75}
+
+
+def exact_share(m: Metric) -> float | None:
+    """The share of an exact quantile; None for any other metric."""
+    if m.kind not in (*_SHARES, "getQuantile") or m.params.get("mode", "approx") != "exact":
+        return None
+    return _SHARES[m.kind] if m.kind in _SHARES else float(m.params["target"])
+
+
 def _quantile(at: float | None = None):
     def agg(d: Column, m: Metric) -> Column:
         q = float(m.params["target"]) if at is None else at
@@ -234,9 +244,9 @@ SINGLE: dict[str, Callable[[list[Cell], Metric], Single]] = {
     "numberBetween": _hits(lambda c, p: _bounds(c, p, False), "are within the interval"),
     "numberNotBetween": _hits(lambda c, p: _bounds(c, p, True), "are outside the interval"),
     "numberValues": _hits(lambda c, p: c.number == float(p["compareValue"]), "equal the required number"),
-    "medianValue": _quantile(0.5),
-    "firstQuantile": _quantile(0.25),
-    "thirdQuantile": _quantile(0.75),
+    "medianValue": _quantile(_SHARES["medianValue"]),
+    "firstQuantile": _quantile(_SHARES["firstQuantile"]),
+    "thirdQuantile": _quantile(_SHARES["thirdQuantile"]),
     "getQuantile": _quantile(),
     "getPercentile": _number(lambda d, m: F.avg(F.when(d.isNotNull(), (d <= float(m.params["target"])).cast("double"))), 0.0),
     "columnEq": _rows(lambda cs, p: every([cs[0].text == c.text for c in cs[1:]]), "the values are not equal"),

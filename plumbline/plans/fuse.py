@@ -2,6 +2,7 @@
 
 * all single-pass metrics: one global aggregate over one scan, which reads
   only the columns they name;
+* exact quantiles: four more scans of their columns, for all of them together;
 * grouping metrics: one two-level aggregate for each distinct list of columns;
 * top-N metrics: one grouping each, cut by a sort with a limit.
 
@@ -15,7 +16,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.cells import cells, every
-from ..operators.metrics import GROUPING, SINGLE, Metric, single
+from ..operators.metrics import GROUPING, SINGLE, Metric, exact_share, single
+from ..operators.quantiles import exact_quantiles
 
 #: Metrics computed in one aggregate; beyond it a second scan is cheaper than so wide a row.
 MAX_FUSED = 250
@@ -33,9 +35,22 @@ def lower_names(df: DataFrame) -> DataFrame:
 
 
 def fused(df: DataFrame, metrics: list[Metric], by: list[Column] | None = None) -> DataFrame:
-    """Single-pass metrics as one aggregate with a column for each, named ``m0``, ``m1``, ...; grouped ``by`` if given."""
-    aggs = [single(m.kind, cells(df, m.columns), m).value.alias(f"m{i}") for i, m in enumerate(metrics)]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    """Single-pass metrics as one aggregate with a column for each, named ``m0``, ``m1``, ...; grouped ``by`` if given.
+
+    Exact quantiles of a whole frame take scans of their own, see :mod:`..operators.quantiles`; those of
+    groups are gathered by group.
+    """
+    exact = {} if by else {i: q for i, q in enumerate(map(exact_share, metrics)) if q is not None}
+    aggs = [single(m.kind, cells(df, m.columns), m).value.alias(f"m{i}") for i, m in enumerate(metrics) if i not in exact]
+    if by:
+        return df.groupBy(*by).agg(*aggs)
+    if not exact:
+        return df.agg(*aggs)
+    wide = exact_quantiles(df, [(cells(df, metrics[i].columns)[0].number, q) for i, q in exact.items()])
+    wide = wide.select(*[F.coalesce(f"q{k}", F.lit(float("nan"))).alias(f"m{i}") for k, i in enumerate(exact)])
+    if aggs:
+        wide = df.agg(*aggs).crossJoin(F.broadcast(wide))  # one row on either side
+    return wide.select(*[f"m{i}" for i in range(len(metrics))])
 
 
 def _rows(wide: DataFrame, metrics: list[Metric], prefix: str = "m", keep: tuple[str, ...] = ()) -> DataFrame:
