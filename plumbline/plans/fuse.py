@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.cells import cells, every
 from ..operators.metrics import GROUPING, SINGLE, Metric, exact_share, single
 from ..operators.quantiles import exact_quantiles
+from ..sources.shared import scratch
 
 #: Metrics computed in one aggregate; beyond it a second scan is cheaper than so wide a row.
 MAX_FUSED = 250
@@ -167,7 +168,7 @@ def errors(df: DataFrame, metrics: list[Metric], key_fields: list[str] | None =
     Which rows are kept is fixed: the first by their data.  All single-pass
     metrics share one scan; of a group of equal tuples all but one row fail
     the metric of duplicates, and only all-null tuples fail that of distinct
-    values.  The cut runs within each task before rows are shuffled, see :func:`first_rows`.
+    values.  For the cut see :func:`first_rows`.
     """
     keys = list(key_fields or [])
     rows_ = failing(df, metrics, keys, {})
@@ -191,6 +192,7 @@ def errors(df: DataFrame, metrics: list[Metric], key_fields: list[str] | None =
 
 
 SALTS = 64  #: parts that the rows of a group are first cut in
+MANY = 1 << 14  #: beyond it SALTS times the rows asked for are too many for one task
 _CUT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -201,10 +203,15 @@ def first_rows(df: DataFrame, by: list[str], order: Column, n: int) -> DataFrame
     shuffled, within each of SALTS parts of a group, and at last for the whole
     group, of which then SALTS * n rows meet in one task at most.  Spark
     places the first cut for limits up to a threshold, which is raised to ``n``.
+
+    More than MANY rows are cut in the shared folder, at once rather than when
+    the result is used, see :func:`_first_of_many`.
     """
     names = [f"__{x}" for x in ("order", "salt", "rank")]
     spark = df.sparkSession
-    if int(spark.conf.get(_CUT)) < n < 1 << 24:
+    if n > MANY:
+        return _first_of_many(df, by, order, n)
+    if int(spark.conf.get(_CUT)) < n:
         spark.conf.set(_CUT, str(n))
     out = df.withColumn(names[0], order).withColumn(names[1], F.pmod(F.xxhash64(names[0]), F.lit(SALTS)))
     for keys in ([*by, names[1]], by):
@@ -213,6 +220,44 @@ def first_rows(df: DataFrame, by: list[str], order: Column, n: int) -> DataFrame
     return out.drop(*names[:2])
 
 
+def _first_of_many(df: DataFrame, by: list[str], order: Column, n: int) -> DataFrame:
+    """:func:`first_rows` of groups that may be too large for one task.
+
+    All rows are written as they come and counted.  Groups of at most ``n``
+    rows need no cut.  The others are laid out in files by ranges of their
+    order, equal rows spread as any others; counts tell which files are within
+    the first ``n`` rows, and only the file in which a group is cut is sorted.
+    """
+    spark = df.sparkSession
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        rows.write.option("maxRecordsPerFile", 0).parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    def same(rows: DataFrame, other: DataFrame) -> Column:
+        return every([F.lit(True), *[rows[f"`{c}`"].eqNullSafe(other[f"__by{i}"]) for i, c in enumerate(by)]])
+
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    keys = [F.col(f"`{c}`").alias(f"__by{i}") for i, c in enumerate(by)]
+    rows = kept(df.withColumn("__order", order), "rows")
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > n)
+    if large.isEmpty():
+        return rows.select(*columns)
+    large = F.broadcast(large)  # each stands for more than n rows
+    small, cut = rows.join(large, same(rows, large), "left_anti"), rows.join(large, same(rows, large), "left_semi")
+    at = [*[F.col(f"`{c}`") for c in by], F.col("__order"), F.col("__tie")]
+    ranged = kept(cut.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*at), "ranges").withColumn("__file", F.col("_metadata.file_name"))
+    files = ranged.groupBy(*keys, F.col("__file").alias("__of")).agg(F.count(F.lit(1)).alias("__size"))
+    own = [f"__by{i}" for i in range(len(by))]
+    before = F.sum("__size").over(Window.partitionBy(*own).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    files = F.broadcast(files.withColumn("__left", n - F.coalesce(before, F.lit(0))).where("__left > 0"))
+    got = ranged.join(files, same(ranged, files) & (ranged["__file"] == files["__of"]))
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy("__order", "__tie"))
+    last = got.where("__size > __left").withColumn("__rank", rank).where("__rank <= __left")
+    return small.select(*columns).unionByName(got.where("__size <= __left").select(*columns)).unionByName(last.select(*columns))
+
+
 def error_counts(df: DataFrame, metrics: list[Metric]) -> DataFrame:
     """Number of failing rows of each single-pass metric, in one scan: ``metric_id``, ``failures``."""
     ones = [m for m in metrics if m.kind in SINGLE]
